@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from .bpe import bpe_encode
 from .common import table
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality_rules import RULES, STRATA, Risk, quality_rules
+from .simhash import simhash_groups
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +85,8 @@ FROM m LEFT JOIN rejected USING (r)"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,

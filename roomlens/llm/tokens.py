@@ -9,11 +9,11 @@ import tiktoken
 from tokenizers import Tokenizer
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_to_char() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable character: itself if it is one, else the next free one from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 @functools.lru_cache(4)
@@ -28,7 +28,7 @@ def byte_bpe(path: str):
     The merges run in tiktoken, several times as fast; where it gives up (such as on its stack's limit), the library runs.
     """
     model = json.load(open(path, encoding="utf-8"))
-    byte = _byte_of_char()
+    byte = {c: b for b, c in byte_to_char().items()}
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
