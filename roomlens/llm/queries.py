@@ -11,6 +11,7 @@ import public_tokenizers
 
 from .bpe import bpe_encode
 from .common import table
+from .embedding_dups import embedding_links
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality_rules import RULES, STRATA, Risk, quality_rules
@@ -27,6 +28,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -87,6 +92,7 @@ FROM m LEFT JOIN rejected USING (r)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
+    "op6_embedding_dups": op6_embedding_dups,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
