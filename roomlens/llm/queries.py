@@ -14,8 +14,17 @@ from .common import table
 from .embedding_dups import embedding_links
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality_model import quality_model, quality_scores
 from .quality_rules import RULES, STRATA, Risk, quality_rules
+from .sample import remainder
 from .simhash import simhash_groups
+from .toxicity import toxicity, toxicity_index
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(3) == 1
+    scored = quality_scores(docs, quality_model(docs, table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +98,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN rejected USING (r)"""
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(5) == 0
+    scored = toxicity(docs, toxicity_index(docs, table(spark, sf_dir, "labels"), ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
     "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
     "op6_embedding_dups": op6_embedding_dups,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op7_line_dedup": _OP7_SQL, "op9_quality_rules": _op9_sql()}
