@@ -12,6 +12,7 @@ import public_tokenizers
 from .bpe import bpe_encode
 from .common import table
 from .embedding_dups import embedding_links
+from .language import page_language, text_model
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality_model import quality_model, quality_scores
@@ -32,6 +33,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_language(table(spark, sf_dir, "pages"), text_model(table(spark, sf_dir, "documents").select("text", "lang")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -107,6 +112,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_embedding_dups": op6_embedding_dups,
     "op7_line_dedup": op7_line_dedup,
