@@ -46,7 +46,7 @@ class Risk:
 
 
 def word_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each text; one row per row of ``docs``.
+    """doc_id, row (xxhash64 of the text) and the counts of each text; one row per row of ``docs``.
 
     Null text counts as empty. Repeated rows stay repeated. n_lines counts the lines that hold a word.
     n_repeat_words compares five-word windows by 64-bit hash inside one text.
@@ -55,6 +55,7 @@ def word_stats(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", text.alias("t"))
     d = d.select(
         "doc_id",
+        F.xxhash64("t").alias("row"),
         F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bind(
@@ -68,6 +69,7 @@ def word_stats(docs: DataFrame) -> DataFrame:
     )
     return d.select(
         "doc_id",
+        "row",
         F.col("words.n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -168,7 +170,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Data
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """doc_id, counts, base_failed, kept and rejected_by (array of rule names); one row per row of ``docs``.
+    """doc_id, counts, base_failed, kept, rejected_by (array of rule names) and row (xxhash64 of the text); one row per row of ``docs``.
 
     Null text: no words, so it fails the base rules. Without labels only the base rules reject. Extra columns are
     ignored. Repeated rows get the same verdict each. The thresholds, a row for each of at
@@ -180,5 +182,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
     hits = F.array_compact(F.array(*(F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in RULES)))
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~base_failed() & (F.size(hits) == 0)).alias("kept"), hits.alias("rejected_by"),
+        (~base_failed() & (F.size(hits) == 0)).alias("kept"), hits.alias("rejected_by"), "row",
     )
+
+
+def passing(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    stay = quality_rules(docs, labels, risk).where("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__row")), "left_semi")
