@@ -78,4 +78,4 @@ def same_set(a: Column, b: Column) -> Column:
 
 def calculate(x: Column, y: Column, operator: Column) -> Column:
     """Null for a division by zero and for an unknown operator."""
-    return F.when(operator == "add", x + y).when(operator == "subtract", x - y).when(operator == "multiply", x * y).when(operator == "divide", F.try_divide(x, y))
+    return F.when(operator == "add", x + y).when(operator == "sub", x - y).when(operator == "mul", x * y).when(operator == "div", F.try_divide(x, y))

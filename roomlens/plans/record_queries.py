@@ -71,10 +71,10 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calculator(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem")
-    operator = F.element_at(F.array(*map(F.lit, ("add", "subtract", "multiply", "divide", "power"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    operator = F.element_at(F.array(*map(F.lit, ("add", "sub", "mul", "div", "pow"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     x, y = F.col("l_quantity"), F.col("l_discount") + 0.0
     value = text.calculate(x, y, operator)
-    status = F.when(operator == "power", "unknown operator").when((operator == "divide") & (y == 0), "Error").otherwise("ok")
+    status = F.when(operator == "pow", "unknown operator").when((operator == "div") & (y == 0), "Error").otherwise("ok")
     return line.select(operator.alias("operator"), status.alias("status"), value.alias("value")).groupBy("operator", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -178,9 +178,9 @@ def _oracles() -> dict[str, str]:
             "g AS (SELECT room_id, kind, type, replace(type, '_', ' ') AS name, count(*) AS n, string_agg(label, ', ' ORDER BY seq) AS ids FROM entities GROUP BY ALL)",
             f"SELECT room_id, kind, type, '- ' || n || ' ' || ({plural}) || ' with ' || CASE WHEN n = 1 THEN 'ID' ELSE 'IDs' END || ' [' || ids || '].' AS line FROM g",
         ),
-        "calculator": f"""WITH c AS (SELECT {_pick(("add", "subtract", "multiply", "divide", "power"), "l_partkey")} AS operator, l_quantity AS x, l_discount + 0.0 AS y FROM lineitem)
-SELECT operator, CASE WHEN operator = 'power' THEN 'unknown operator' WHEN operator = 'divide' AND y = 0 THEN 'Error' ELSE 'ok' END AS status, count(*) AS n,
-       round(sum(CASE operator WHEN 'add' THEN x + y WHEN 'subtract' THEN x - y WHEN 'multiply' THEN x * y WHEN 'divide' THEN CASE WHEN y <> 0 THEN x / y END END), 4) AS total FROM c GROUP BY ALL""",
+        "calculator": f"""WITH c AS (SELECT {_pick(("add", "sub", "mul", "div", "pow"), "l_partkey")} AS operator, l_quantity AS x, l_discount + 0.0 AS y FROM lineitem)
+SELECT operator, CASE WHEN operator = 'pow' THEN 'unknown operator' WHEN operator = 'div' AND y = 0 THEN 'Error' ELSE 'ok' END AS status, count(*) AS n,
+       round(sum(CASE operator WHEN 'add' THEN x + y WHEN 'sub' THEN x - y WHEN 'mul' THEN x * y WHEN 'div' THEN CASE WHEN y <> 0 THEN x / y END END), 4) AS total FROM c GROUP BY ALL""",
         "polygon_area_centroid": f"WITH r AS ({ring}) SELECT vec_id, round(abs({fold(cross)}) / 2, 6) AS area, round({fold(f'({x} + {u}) * {cross}')} / (3 * {fold(cross)}), 3) AS cx, round({fold(f'({y} + {v}) * {cross}')} / (3 * {fold(cross)}), 3) AS cy FROM r",
         "layout_sample": _on_layouts(f"k AS (SELECT room_id, source_group, sha256('{SEED}:layout-order:' || room_id) AS k FROM rooms)", f"SELECT room_id, source_group, row_number() OVER (ORDER BY k)::int AS rank FROM k ORDER BY k LIMIT {SAMPLE}"),
         "boolean_schedule": _on_layouts(
