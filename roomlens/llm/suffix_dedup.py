@@ -128,17 +128,14 @@ def merged_masks(inner: np.ndarray, around: list[bytes], n: np.ndarray, valid: n
     return masks
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__row", F.xxhash64("__text")).withColumn("__did", F.coalesce(F.col("doc_id"), F.col("__row")))
-
-
 def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 26) -> DataFrame:
     """(doc_id, row, spans): for documents with repeats, the starts of strings that occur elsewhere, as [first, last, first, last, ...].
 
     row is xxhash64 of the text; repeated rows of one doc_id and text have the same spans and one row here.
     """
     plan = _Plan(length)
-    rows = _docs(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__did").alias("did"), F.col("__text").alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).withColumn("did", F.coalesce("doc_id", "row"))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +189,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
                 kinds_of = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_of, strict=True)], ["doc_id", "row", "spans", "high", "inner", "outer", "around", "valid", "n"])
 
-    # equal rows would bring their classes twice: one of them goes on, and its context already counts twice
-    found = found.dropDuplicates(["doc_id", "row"])
+    # equal rows bring nothing of kind 1: all their contexts occur twice
     done = spool(found.mapInArrow(judge, "doc_id long, row long, spans array<long>, high long, inner long, outer long, around binary, valid long, n long"), "judged-text")
     whole = done.where("spans is not null and size(spans) > 0").select("doc_id", "row", "spans")
     classes = done.where("spans is null")
@@ -245,10 +241,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     rest out and kept has it. All other columns pass through; columns named kept, n_bytes, n_removed or n_spans are replaced.
     """
     spans = repeated_spans(docs, length).select(F.col("doc_id").alias("__id"), F.col("row").alias("__r"), F.col("spans").alias("__spans"))
-    full = _docs(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
+    full = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("__row", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     full = full.join(spans, full["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (full["__row"] == spans["__r"]), "left")
     others = [f for f in full.schema.fields if not f.name.startswith("__")]
-    at_text, at_spans = full.columns.index("__text"), full.columns.index("__spans")
+    at_text, at_spans = full.columns.index("text"), full.columns.index("__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", kept binary, n_bytes long, n_removed long, n_spans long"
     keep = [full.columns.index(f.name) for f in others]
     text_at = [f.name for f in others].index("text")
@@ -257,7 +253,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         for batch in batches:
             kept, sizes, gone, runs = [], [], [], []
             for text, spans in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist(), strict=True):
-                data = text.encode()
+                data = (text or "").encode()
                 left, n = without(data, spans or [], length)
                 kept.append(left)
                 sizes.append(len(data))
