@@ -38,7 +38,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_b
     placed = placed.select("doc_id", "row", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     suspects = spool(keep_suspected(placed.withColumn("h", F.xxhash64("key")), "h", found).drop("h"), "lines")
     shared = suspects.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    gone = suspects.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # written, so that both sides of the join are shuffled by key and a hot key can be split
+    gone = suspects.join(spool(shared, "shared"), "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("at").alias("__gone"))
 
     cut = docs.drop("n_lines", "n_dropped").withColumn("__hash", F.xxhash64("text"))
