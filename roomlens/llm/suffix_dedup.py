@@ -193,6 +193,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
     done = spool(found.mapInArrow(judge, "doc_id long, row long, spans array<long>, high long, inner long, outer long, around binary, valid long, n long"), "judged-text")
     whole = done.where("spans is not null and size(spans) > 0").select("doc_id", "row", "spans")
     classes = done.where("spans is null")
+    # inner bytes that no other class has leave nothing open
+    classes = spool(keep_suspected(classes.drop("spans"), "inner", twice_filter(classes.select("inner"), filter_bits)), "classes")
     outers = spool(classes.groupBy("inner", "outer").agg(F.sum("n").alias("n"), F.min("around").alias("around"), F.min("valid").alias("valid")), "outers")
     inners = spool(outers.groupBy("inner").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1"), "inners")
     open_ones = spool(outers.join(inners, "inner").drop("least"), "open")
