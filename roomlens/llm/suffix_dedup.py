@@ -34,7 +34,7 @@ from .twice import keep_suspected, twice_filter
 #: Bytes whose hash makes an anchor; strings in a class; different surroundings that are merged in one task.
 GRAM, CLASS, LIMIT = 8, 32, 512
 #: Strings of a shard, and of a merge.
-SHARD, MERGE = 4096, 24_576
+SHARD, MERGE = 4096, 12_288
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -252,7 +252,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     text_at = [f.name for f in others].index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # texts are held three times over meanwhile, so a few at a time
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             kept, sizes, gone, runs = [], [], [], []
             for text, spans in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist(), strict=True):
                 data = (text or "").encode()
