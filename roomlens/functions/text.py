@@ -79,3 +79,13 @@ def same_set(a: Column, b: Column) -> Column:
 def calculate(x: Column, y: Column, operator: Column) -> Column:
     """Null for a division by zero and for an unknown operator."""
     return F.when(operator == "add", x + y).when(operator == "sub", x - y).when(operator == "mul", x * y).when(operator == "div", F.try_divide(x, y))
+
+
+def tool_status(output: Column) -> Column:
+    """What a placement sentence says: true, false, or null where it is inconclusive."""
+    return F.when(output.endswith("The answer is True."), F.lit(True)).when(output.endswith("The answer is False."), F.lit(False))
+
+
+def tool_distance(output: Column) -> Column:
+    """The first length in meters that a sentence names."""
+    return F.nullif(F.regexp_extract(output, r"([0-9]+\.[0-9]+) meters", 1), F.lit("")).try_cast("double")

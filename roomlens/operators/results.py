@@ -71,3 +71,16 @@ def gates(metrics: DataFrame) -> DataFrame:
     """Metrics (metric, value) that have a threshold, and whether they reach it; those without are left out."""
     least = metrics.sparkSession.createDataFrame(list(GATES.items()), "metric string, threshold double")
     return metrics.join(F.broadcast(least), "metric").select("metric", F.round("value", 6).alias("value"), "threshold", (F.col("value") >= F.col("threshold")).alias("passed"))
+
+
+def snapshot(pairs: DataFrame) -> DataFrame:
+    """One row for calls that were answered in two ways (columns tool, ours, theirs): how many agree, and how the verdicts fall.
+
+    ours and theirs are numbers; verdicts are 1 (true), 0 (false) and null (inconclusive).
+    """
+    agree = F.col("ours").isNull() & F.col("theirs").isNull() | (F.abs(F.col("ours") - F.col("theirs")) <= 0.001)
+    verdict = F.col("tool") == "find_space_with_size"
+    return pairs.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.coalesce(agree, F.lit(False))).alias("matches"), F.count_if(verdict & (F.col("ours") == 1)).alias("n_true"),
+        F.count_if(verdict & (F.col("ours") == 0)).alias("n_false"), F.count_if(verdict & F.col("ours").isNull()).alias("n_inconclusive"),
+    )
