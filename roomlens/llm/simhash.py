@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long), a row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             fp = np.array([fingerprint(t, words_in_shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
