@@ -135,7 +135,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
     """
     plan = _Plan(length)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).withColumn("did", F.coalesce("doc_id", "row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    # names a document in grouping, so that no doc_id, null or repeated, gathers many texts; if two share one, they only look for each other's contexts too
+    rows = rows.withColumn("did", F.xxhash64("doc_id", "row"))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
