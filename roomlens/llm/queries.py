@@ -24,7 +24,7 @@ from .toxicity import toxicity, toxicity_index
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), remainder(3) == 1
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder(3) == 1, F.lit(False))
     scored = quality_scores(docs, quality_model(docs, table(spark, sf_dir, "labels"), ~held))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -110,7 +110,7 @@ FROM m LEFT JOIN rejected USING (r)"""
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), remainder(5) == 0
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder(5) == 0, F.lit(False))
     scored = toxicity(docs, toxicity_index(docs, table(spark, sf_dir, "labels"), ~held))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
