@@ -128,7 +128,7 @@ def merged_masks(inner: np.ndarray, around: list[bytes], n: np.ndarray, valid: n
     return masks
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 25) -> DataFrame:
     """(doc_id, row, spans): for documents with repeats, the starts of strings that occur elsewhere, as [first, last, first, last, ...].
 
     row is xxhash64 of the text; repeated rows of one doc_id and text have the same spans and one row here.
