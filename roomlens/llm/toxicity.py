@@ -1,32 +1,31 @@
 """A toxicity score from the nearest labelled examples.
 
-Method: exact TF-IDF cosine to labelled examples through a block-max inverted index. Examples stand in blocks; for each term
-the index knows the largest weight in each block, so the sum of a query's weights times these bounds every cosine in the block.
-Blocks are opened from the highest bound down, until no bound reaches the k-th best cosine: the k neighbours are exact. Their votes, weighted by
-closeness, are turned into a probability by a logistic curve fitted on the examples' own left-out votes. The neighbours' ids are the evidence.
+Method: exact cosine to all labelled examples of the sample, over all of their terms. Terms that many examples hold are columns of a
+matrix and take part by a matrix product, the others by their posting lists; no cosine is left out. The votes of the k nearest,
+weighted by closeness, are turned into a probability by a logistic curve fitted on the examples' own left-out votes. The neighbours' ids are the evidence.
 
-Terms are words and word beginnings (insults inflect). Of these the index keeps those that tell the classes apart best in the
-sample, by information gain; a text without any has no neighbours and gets the prior of such texts.
+Terms are words and word beginnings (insults inflect). A term weighs its idf times how far it tells the classes apart (the log of its
+odds, plus a little, so that no term is without weight): a text has no neighbours only if no example holds any of its words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .sample import labelled
 
-#: Examples of a class, terms and neighbours at most; examples in a block.
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 6000, 4096, 15, 64
-#: A term is at least so many times as frequent in one class as in the other.
-LIFT = 3.0
+#: Examples of a class and neighbours at most; terms that are columns of the matrix; texts scored at once.
+PER_CLASS, NEIGHBOURS, DENSE, AT_ONCE = 6000, 15, 1024, 64
+#: Least weight of a term for telling the classes apart.
+LEAST = 0.01
 #: Lengths of word beginnings that are terms.
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,15 +45,13 @@ def term_counts(text: str) -> Counter[str]:
 
 @dataclass
 class Index:
-    """Terms with idf; per term its examples (ascending) and weights; per term and block the largest weight."""
+    """Terms with weights; per term its examples (ascending) and how often each holds it."""
 
-    terms: dict[str, int]
+    terms: list[str]
     idf: np.ndarray
     starts: np.ndarray
     postings: np.ndarray
-    weights: np.ndarray
-    bound: np.ndarray
-    block_at: np.ndarray
+    counts: np.ndarray
     y: np.ndarray
     ids: np.ndarray
     #: weight of each example's vote: labelled rows of its class over examples of it
@@ -62,40 +59,73 @@ class Index:
     prior: float
     slope: float = 1.0
     shift: float = 0.0
+    #: made again where the index is used
+    made: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": {}, "terms": "\n".join(self.terms)}  # terms are letters and *
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"terms": state["terms"].split("\n") if state["terms"] else []})
+
+    def parts(self) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Places of terms, weights of postings, and the matrix of frequent terms with their rows (-1 for others)."""
+        if not self.made:
+            sizes = np.diff(self.starts)
+            w = (1 + np.log(self.counts)) * np.repeat(self.idf, sizes)
+            w /= np.sqrt(np.bincount(self.postings, w * w, len(self.ids)))[self.postings]
+            often = np.sort(np.argsort(-sizes, kind="stable")[:DENSE])
+            row, matrix = np.full(len(sizes), -1, np.int32), np.zeros((len(often), len(self.ids)))
+            row[often] = np.arange(len(often))
+            for r, t in enumerate(often.tolist()):
+                own = slice(self.starts[t], self.starts[t + 1])
+                matrix[r, self.postings[own]] = w[own]
+            self.made["parts"] = {t: i for i, t in enumerate(self.terms)}, w, matrix, row
+        return self.made["parts"]
 
     def vector(self, text: str, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of a text. ``known`` remembers the terms of words."""
         counts: dict[int, int] = {}
+        place = self.parts()[0]
         for word, n in Counter(_WORD.findall(text.lower())).items():
             at = known.get(word)
             if at is None:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
-                at = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+                at = known[word] = tuple(place[t] for t in terms_of(word) if t in place)
             for t in at:
                 counts[t] = counts.get(t, 0) + n
         return unit(counts, self.idf)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, best first, ties by place; without the example ``but``."""
-        best, cos = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms):
-            return best, cos
-        bounds = weights @ self.bound[terms]
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(cos) == k and bounds[b] < cos[-1] - 1e-9):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.block_at[t, b], self.block_at[t, b + 1]
-                if hi > lo:
-                    scores[self.postings[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            found = np.flatnonzero(scores > 0) + b * BLOCK
-            found = found[found != but]
-            best, cos = np.concatenate([best, found]), np.concatenate([cos, scores[found - b * BLOCK]])
-            order = np.lexsort((best, -np.round(cos, 12)))[:k]
-            best, cos = best[order], cos[order]
-        return best, cos
+        return self.nearest_of([(terms, weights)], k, [but])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector."""
+        _, w, matrix, row = self.parts()
+        n = len(self.ids)
+        asked = np.zeros((len(vectors), len(matrix)))
+        for own, (terms, weights) in zip(asked, vectors, strict=True):
+            r = row[terms]
+            own[r[r >= 0]] = weights[r >= 0]
+        cosines = asked @ matrix
+        out = []
+        for i, (terms, weights) in enumerate(vectors):
+            cos = cosines[i]
+            rare = row[terms] < 0
+            low, high = self.starts[terms[rare]], self.starts[terms[rare] + 1]
+            if len(low):
+                runs = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                cos += np.bincount(np.concatenate([self.postings[r] for r in runs]), np.concatenate([w[r] for r in runs]) * np.repeat(weights[rare], high - low), n)
+            if but is not None and but[i] >= 0:
+                cos[but[i]] = 0.0
+            least = max(np.partition(cos, n - k)[n - k] - 1e-11, 1e-12) if n > k else 1e-12
+            best = np.flatnonzero(cos >= least)
+            near = np.round(cos[best], 12)
+            order = np.lexsort((best, -near))[:k]
+            out.append((best[order], near[order]))
+        return out
 
     def vote(self, best: np.ndarray, cos: np.ndarray) -> float:
         """Share of toxic votes: an example counts by its closeness; a little weight lies on the prior."""
@@ -116,30 +146,35 @@ def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def build(terms: list[str], df: np.ndarray, n: int, ids: np.ndarray, y: np.ndarray, counts: list[dict[int, int]], share: dict[int, float]) -> Index:
     """``df``: examples of ``n`` that hold each term; ``share``: labelled rows for each example, by class."""
-    idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = [unit(c, idf) for c in counts]
-    blocks = -(-len(ids) // BLOCK)
-    lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for e, (at, w) in enumerate(vectors):
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            lists[t].append((e, x))
-    starts = np.concatenate([[0], np.cumsum([len(lists[t]) for t in range(len(terms))])]).astype(np.int64)
-    flat = [p for t in range(len(terms)) for p in lists[t]]
-    postings, weights = np.array([e for e, _ in flat], np.int64), np.array([x for _, x in flat])
-    bound = np.zeros((len(terms), blocks))
-    block_at = np.zeros((len(terms), blocks + 1), np.int64)
-    for t in range(len(terms)):
-        own = slice(starts[t], starts[t + 1])
-        np.maximum.at(bound[t], postings[own] // BLOCK, weights[own])
-        block_at[t] = starts[t] + np.searchsorted(postings[own], np.arange(blocks + 1) * BLOCK)
+    flat = lambda values: np.fromiter((x for c in counts for x in values(c)), np.int32)
+    return assembled(terms, df, n, ids, y, np.array([len(c) for c in counts], np.int64), flat(dict.keys), flat(dict.values), share)
+
+
+def assembled(terms: list[str], df: np.ndarray, n: int, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, at: np.ndarray, times: np.ndarray, share: dict[int, float]) -> Index:
+    """As ``build``, of the terms of all examples one after the other (``sizes`` of each) and how often they stand there."""
+    order = np.argsort(at, kind="stable")
+    postings = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))]).astype(np.int64)
+    toxic_df = np.bincount(at, np.repeat(y == 1, sizes), len(terms))
+    clean_df = np.diff(starts) - toxic_df
+    odds = np.log((toxic_df + 0.5) / ((y == 1).sum() + 1) / ((clean_df + 0.5) / ((y == 0).sum() + 1)))
+    idf = (np.log((1 + n) / (1 + df)) + 1) * (np.abs(odds) + LEAST)
     votes_of = np.array([share.get(int(v), 1.0) for v in y])
     toxic = float(votes_of @ y)
-    index = Index({t: i for i, t in enumerate(terms)}, idf, starts, postings, weights, bound, block_at, y.astype(float), ids, votes_of / max(votes_of.mean(), 1e-12) if len(y) else votes_of, 0.5)
-    empty = np.array([not len(at) for at, _ in vectors], bool)
+    index = Index(terms, idf, starts, postings, times[order], y.astype(float), ids, votes_of / max(votes_of.mean(), 1e-12) if len(y) else votes_of, 0.5)
+    empty = sizes == 0
     # the share of toxic ones among texts without a term of the index, which have no neighbours
     index.prior = float((votes_of[empty] @ y[empty] + 0.01) / (votes_of[empty].sum() + 1)) if empty.any() else min(0.5, max(0.01, toxic / max(votes_of.sum(), 1)))
     if 0 < y.sum() < len(y):
-        votes = np.array([index.vote(*index.nearest(at, w, but=e)) for e, (at, w) in enumerate(vectors)])
+        ends, votes = np.cumsum(sizes), []
+        for k in range(0, len(ids), AT_ONCE):
+            own = list(range(k, min(k + AT_ONCE, len(ids))))
+            vectors = []
+            for e in own:
+                part = slice(ends[e] - sizes[e], ends[e])
+                vectors.append(unit(dict(zip(at[part].tolist(), times[part].tolist(), strict=True)), idf))
+            votes += [index.vote(*found) for found in index.nearest_of(vectors, but=own)]
+        votes = np.array(votes)
         index.slope, index.shift = platt(np.log(votes / (1 - votes)), y.astype(float), votes_of)
     return index
 
@@ -158,46 +193,34 @@ def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def toxicity_index(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, most_terms: int = TERMS) -> Index:
-    """Built from at most ``per_class`` labelled documents of each class for which ``usable`` (on doc_id) holds."""
+def toxicity_index(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Index:
+    """Built from at most ``per_class`` labelled documents of each class for which ``usable`` (on doc_id) holds, with all their terms."""
     rows, labelled_counts = labelled(docs, labels, "toxic", usable, per_class)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term in term_counts(text):
-                    held.setdefault(term, [0, 0])[y] += 1
-            if len(held) > 300_000:
-                yield table_of(held)
-                held = {}
-        yield table_of(held)
-
-    def table_of(held: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"term": pa.array(held, pa.string()), "clean": pa.array([v[0] for v in held.values()], pa.int64()), "toxic": pa.array([v[1] for v in held.values()], pa.int64())})
-
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    n0, n1 = max(1, n.get(0, 0)), max(1, n.get(1, 0))
-    found = rows.select("y", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    p, q = F.col("a") / (2.0 * n0), F.col("b") / (2.0 * n1)  # both classes count the same
-    gain = part(p, (p + q) / 2) + part(q, (p + q) / 2) + part(0.5 - p, (1 - p - q) / 2) + part(0.5 - q, (1 - p - q) / 2)
-    apart = F.greatest(p, q) >= LIFT * F.least(p, q)  # else every text has terms, and every cosine must be taken
-    top = found.where("a + b >= 3").where(apart).withColumn("gain", F.round(gain, 9)).where("gain >= 0.001").orderBy(F.desc("gain"), "term").limit(most_terms).collect()
-    terms = [r["term"] for r in top]
-    place = {t: i for i, t in enumerate(terms)}
+            found: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                found.update(term_counts(text))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["term"])
+
+    terms = rows.select("text").mapInArrow(held, "term string").distinct().toArrow()["term"]  # of at most 2 x per_class texts
+    terms = sorted(terms.to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast("\n".join(terms))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [{place[t]: c for t, c in term_counts(text).items() if t in place} for text in batch.column(2).to_pylist()]
+        place = {t: i for i, t in enumerate(shared.value.split("\n"))}
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            got = [{place[t]: c for t, c in term_counts(text).items()} for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "t", "c"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<int>").toArrow().sort_by([("y", "descending"), ("doc_id", "ascending")])
-    counts = [dict(zip(t, c, strict=True)) for t, c in zip(got["t"].to_pylist(), got["c"].to_pylist(), strict=True)]
-    y = got["y"].to_numpy()
-    df = np.array([r["a"] + r["b"] for r in top], float)
-    share = {c: labelled_counts.get(c, 0) / max(1, n.get(c, 0)) for c in (0, 1)}
-    return build(terms, df, n0 + n1, got["doc_id"].to_numpy(), y, counts, share)
+    got = rows.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<int>").toArrow().sort_by([("y", "descending"), ("doc_id", "ascending")]).combine_chunks()
+    y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
+    sizes = pc.list_value_length(got["t"]).to_numpy().astype(np.int64)
+    at, times = (pc.list_flatten(got[c]).to_numpy() for c in ("t", "c"))
+    del got
+    share = {c: labelled_counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
+    return assembled(terms, np.bincount(at, minlength=len(terms)).astype(float), len(y), ids, y, sizes, at, times, share)
 
 
 def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -212,10 +235,9 @@ def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = shared.value, {}
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
                 score, near = [], []
-                for text in part.column(1).to_pylist():
-                    best, cos = index.nearest(*index.vector(text or "", known), k)
+                for best, cos in index.nearest_of([index.vector(text or "", known) for text in part.column(1).to_pylist()], k):
                     score.append(index.score(index.vote(best, cos)))
                     near.append(index.ids[best].tolist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])

@@ -115,3 +115,20 @@ def test_language_posterior_as_brute_force(spark):
         post /= post.sum()
         assert got[i].lang == model.languages[int(post.argmax())]
         assert got[i].confidence == pytest.approx(post.max(), rel=1e-6)
+
+
+def test_rare_insults_and_copies_have_neighbours(spark):
+    """A term in 3 of 4,000 toxic examples is evidence, and so is a verbatim copy of an example made of ordinary words."""
+    ordinary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(ordinary[i] for i in rng.integers(0, 80, n))
+    rows = [(i, f"{say(8)} grobian" if i < 4000 else say(8), int(i < 4000)) for i in range(8000)]
+    rows[:3] = [(i, f"{say(8)} zwackel", 1) for i in range(3)]
+    rows[3] = (3, " ".join(ordinary[:30]), 1)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    index = T.toxicity_index(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    asked = spark.createDataFrame([(9000, "zwackel"), (9001, " ".join(ordinary[:30]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.toxicity(asked, index).collect()}
+    assert set(got[9000].evidence) == {0, 1, 2}
+    assert got[9000].score > 0.5
+    assert got[9001].evidence[0] == 3
