@@ -14,7 +14,8 @@ from roomlens.llm.common import spool, table
 from roomlens.llm.line_dedup import line_dedup
 from roomlens.llm.packing import pack
 from roomlens.llm.quality_rules import passing
-from roomlens.llm.simhash import one_of_each, simhash_groups
+from roomlens.llm.shingle_dups import shingle_groups
+from roomlens.llm.simhash import one_of_each
 from roomlens.llm.suffix_dedup import suffix_dedup
 
 
@@ -36,8 +37,8 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id."""
-    return one_of_each(docs, simhash_groups(docs))
+    """Of documents whose five-word shingles are 0.8 similar or more, one of each group stays: that with the smallest doc_id."""
+    return one_of_each(docs, shingle_groups(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", shared_lines),
-    ("simhash near-dedup", near_duplicates),
+    ("shingle near-dedup", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("packing", packing),
 ]

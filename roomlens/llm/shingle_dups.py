@@ -1,0 +1,135 @@
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+
+Method: MinHash bands find candidates and exact sets decide. Texts with equal sets of shingles are first made one. Sets that agree in a whole band
+of minima are linked to the smallest set of that bucket; each connected part is a cluster of candidates, into which
+each set goes once. Inside a cluster two sets are linked if their exact similarity is at least the threshold. A set is
+compared with one member of each part found so far, and with the others of that part only if this one is too far.
+
+With BANDS bands of ROWS minima a pair of similarity 0.8 shares a bucket with chance 0.988, one of 0.85 with 0.9995.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import UPPER, components, spool
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 8
+_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+_MIX = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_TIMES, _FLIP = _MIX[0] | np.uint64(1), _MIX[1]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the different runs of SHINGLE words, ascending; a shorter text is one run, one without words none."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole, k = b" ".join(words), min(SHINGLE, len(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.unique(np.array([xxhash.xxh64_intdigest(whole[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def set_id(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A bucket's key for each band; an empty set has none."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 2048):
+        least = np.minimum(least, ((own[k : k + 2048, None] ^ _FLIP) * _TIMES).min(axis=0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), b) - (1 << 63) for b, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def parts(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the first of its connected part under links of at least ``similarity``."""
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    members: dict[int, list[int]] = {}
+
+    def near(i: int, others: list[int]) -> np.ndarray:
+        o = np.array(others, np.int64)
+        low, high = np.minimum(sizes[o], sizes[i]), np.maximum(sizes[o], sizes[i])
+        o = o[low >= similarity * high - 1e-9]
+        if not len(o):
+            return o
+        hit = mark[np.concatenate([flat[ends[k] - sizes[k] : ends[k]] for k in o.tolist()])]
+        both = np.add.reduceat(hit, np.cumsum(sizes[o]) - sizes[o], dtype=np.int64)
+        return o[both >= similarity * (sizes[o] + sizes[i] - both) - 1e-9]
+
+    for i in range(len(sets)):
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        met = near(i, list(members)).tolist()
+        rest = [(k, root) for root in members if root not in met for k in members[root][1:]]
+        found = set(near(i, [k for k, _ in rest]).tolist()) if rest else set()
+        met += sorted({root for k, root in rest if k in found})
+        mark[own] = False
+        members[min([i, *met])] = sorted([i, *(k for root in met for k in members.pop(root))])
+    label = [0] * len(sets)
+    for root, own in members.items():
+        for k in own:
+            label[k] = root
+    return label
+
+
+def shingle_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links lead to; one row per row of ``docs``.
+
+    Null and empty texts are one group. A null doc_id is the smallest of a group only if there is no other. Repeated rows stay.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "sid", "keys"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sid", "held"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            ids = list(held)
+            label = parts([np.frombuffer(h, np.uint64) for h in held.values()], similarity) if held else []
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[k] for k in label], pa.int64())], ["sid", "component"])
+
+        for batch in batches:
+            for cluster, sid, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cluster != now:
+                    yield done()
+                    now, held = cluster, {}
+                held[sid] = own
+        yield done()
+
+    text = docs.select("doc_id", "text")
+    own = spool(text.mapInArrow(keys, f"doc_id {kind}, sid long, keys array<long>"), "shingles")
+    distinct = own.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    met = own.select("sid", F.explode("keys").alias("key")).distinct()
+    first = met.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").select("key", "first")
+    clusters = components(met.join(first, "key").where("sid > first"), "sid", "first").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    clusters = spool(clusters.join(distinct, "sid"), "clusters")
+    sets = text.mapInArrow(whole, f"doc_id {kind}, sid long, held binary").alias("s").join(clusters.alias("c"), (F.col("s.sid") == F.col("c.sid")) & F.col("s.doc_id").eqNullSafe(F.col("c.least")))
+    sets = sets.select("c.cluster", "s.sid", "s.held").repartition("cluster").sortWithinPartitions("cluster", "sid")
+    linked = sets.mapInArrow(decide, "sid long, component long")
+    member = spool(distinct.join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "members")
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    group = spool(member.join(least, "component").select("sid", "component_id"), "groups")
+    return own.select("doc_id", "sid").join(group, "sid").select("doc_id", "component_id")

@@ -1,0 +1,54 @@
+import random
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline as C
+from roomlens.llm import shingle_dups as D
+
+
+def brute(sets, similarity=0.8):
+    label = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= similarity * len(sets[i] | sets[j]) - 1e-9:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return label
+
+
+def copies(seed, texts, each):
+    """Texts of 150 words, and copies with one to six words replaced."""
+    rng = random.Random(seed)
+    rows = []
+    for t in range(texts):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for k in range(each):
+            own = list(words)
+            for at in rng.sample(range(150), k % 7):
+                own[at] = f"x{rng.randrange(5000)}"
+            rows.append((t * 100 + k, " ".join(own)))
+    return rows
+
+
+def test_parts_as_brute_force():
+    rng = np.random.default_rng(1)
+    for size in (12, 20, 60):
+        sets = [np.unique(rng.integers(0, size, 18).astype(np.uint64)) for _ in range(120)]
+        assert D.parts(sets, 0.6) == brute([set(s.tolist()) for s in sets], 0.6)
+
+
+def test_groups_as_brute_force(make_docs, edge_rows):
+    rows = [(1000 + i, t) for i, t in copies(3, 30, 7)] + edge_rows
+    label = brute([set(D.shingles(t).tolist()) if (t or "").split() else {"none"} for _, t in rows])
+    least = {g: min((i for (i, _), h in zip(rows, label, strict=True) if h == g and i is not None), default=None) for g in label}
+    got = D.shingle_groups(make_docs(rows)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(least[g])) for (i, _), g in zip(rows, label, strict=True))
+
+
+def test_stage_merges_copies_with_a_few_words_replaced(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(i, t) for i, t in copies(5, 20, 4)]  # three words of 150 at most: similarity 0.81 and more
+    odd = spark.createDataFrame(rows, "doc_id long, text string").join(docs.drop("doc_id", "text").limit(1)).select(*docs.columns)
+    kept = C.near_duplicates(spark, odd, small)
+    assert sorted(r.doc_id for r in kept.collect()) == [t * 100 for t in range(20)]
