@@ -32,7 +32,7 @@ def _asked(task: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def largest_empty_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(row: dict) -> Iterator[dict]:
-        yield {"room_id": int(row["layout_id"]), "area": round(float(Layout(row).largest_rectangle()[0]), 6)}
+        yield {"room_id": int(row["layout_id"]), "area": round(float(Layout(row).largest_box()[0]), 6)}
 
     return _rows_of(layouts(spark, sf_dir), make, "room_id long, area double")
 
