@@ -15,7 +15,7 @@ from ..operators.layout import Layout
 from ..operators.tools import tool_calls
 from ..sources.driver_tables import LAYOUT_SQL, entities, rooms
 from ..sources.layouts import nested
-from .generate import _rows_of, audit, generate, task_answers
+from .generate import _rows_of, audit, generate, records_of_all, task_answers
 
 SEED = 7
 #: Catalog items, one for each group of rooms, that are small enough to fit along the axes nearly everywhere.
@@ -85,8 +85,9 @@ def question_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over the records of all rooms."""
     own = layouts(spark, sf_dir)
-    return audit(generate(own, 20, SEED)[0], own)
+    return audit(records_of_all(own, SEED), own, every=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
