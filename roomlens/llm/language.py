@@ -22,13 +22,15 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bind, spool
 
-#: Labelled documents of a language that its text model is fitted on, languages, and n-grams of the model, at most.
-PER_LANGUAGE, LANGUAGES, NGRAMS = 1500, 64, 60_000
+#: Labelled documents of a language that its text model is fitted on, and n-grams of the model, at most.
+PER_LANGUAGE, NGRAMS = 1500, 60_000
+#: Letters that count as a word at most; a longer run is as many words as it has windows of this length.
+WINDOW = 40
 #: Words that a text counts as at most; pages that a smoothed estimate weighs its parent as.
 TEXT_WORDS, PARENT = 40.0, 20.0
 
@@ -57,6 +59,15 @@ def ngrams(word: str) -> list[str]:
     return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
 
 
+def words_of(text: str) -> Counter[str]:
+    """Runs of letters in lower case, long ones in windows, and how often each stands in the text."""
+    out: Counter[str] = Counter()
+    for run, n in Counter(_WORD.findall(text.lower())).items():
+        for i in range(0, len(run), WINDOW):
+            out[run[i : i + WINDOW]] += n
+    return out
+
+
 @dataclass
 class TextModel:
     languages: list[str]
@@ -66,13 +77,13 @@ class TextModel:
 
     def of_word(self, word: str) -> np.ndarray:
         """Mean log probability of a word's n-grams, in each language, times three."""
-        grams = ngrams(word[:40])
+        grams = ngrams(word)
         return sum((self.seen.get(g, self.unseen) for g in grams), np.zeros(len(self.languages))) * (3.0 / len(grams))
 
     def log_likelihood(self, text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
         """Of a text as of TEXT_WORDS words at most (words near each other aren't independent), and its words."""
         total, n = np.zeros(len(self.languages)), 0
-        for word, count in Counter(_WORD.findall(text.lower())).items():
+        for word, count in words_of(text).items():
             got = known.get(word)
             if got is None:
                 if len(known) > 300_000:
@@ -84,14 +95,14 @@ class TextModel:
 
 
 def text_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
-    """Fitted on at most ``per_language`` labelled documents (columns text, lang) of each of at most LANGUAGES languages, those with the smallest hashes."""
+    """Fitted on at most ``per_language`` labelled documents (columns text, lang) of each language, those with the smallest hashes."""
     named = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    top = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    rows = None
-    for lang in sorted(top):
-        part = named.select("lang", "h").where(F.col("lang") == lang).orderBy("h").limit(per_language).agg(F.max("h").alias("most")).withColumn("lang", F.lit(lang))
-        rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
+    top = [r["lang"] for r in named.select("lang").distinct().collect()]
+    # ranked in 64 shares of each language first, so that no language is gathered whole
+    ranked = named.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_language)
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    rows = ranked.where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
+    if not top:
         return TextModel(["und"], {}, np.zeros(1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +110,8 @@ def text_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = held.setdefault(lang, Counter())
-                for word, n in Counter(_WORD.findall(text.lower())).items():
-                    for g in ngrams(word[:40]):
+                for word, n in words_of(text).items():
+                    for g in ngrams(word):
                         own[g] += n
         for lang, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(own, pa.string()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])

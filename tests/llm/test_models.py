@@ -132,3 +132,19 @@ def test_rare_insults_and_copies_have_neighbours(spark):
     assert set(got[9000].evidence) == {0, 1, 2}
     assert got[9000].score > 0.5
     assert got[9001].evidence[0] == 3
+
+
+def test_long_runs_count_whole(spark):
+    """What comes after the 40th letter of a run counts, and for as many words as it is long."""
+    docs = spark.createDataFrame([("de", "der und die das ist nicht ein"), ("en", "the of and to in that is")], "lang string, text string")
+    model = G.text_model(docs)
+    ll, n = model.log_likelihood("q" * 40 + "theofandtointhat" * 100, {})
+    assert model.languages[int(ll.argmax())] == "en"
+    assert n == 41
+    swapped, _ = model.log_likelihood("q" * 40 + "derunddiedasistnicht" * 100, {})
+    assert model.languages[int(swapped.argmax())] == "de"
+
+
+def test_every_labelled_language_stays(spark):
+    docs = spark.createDataFrame([(f"l{k:02}", f"wort{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3}") for k in range(70)] * 2, "lang string, text string")
+    assert G.text_model(docs).languages == [f"l{k:02}" for k in range(70)]
