@@ -18,8 +18,6 @@ from ..sources.layouts import nested
 from .generate import _rows_of, audit, generate, records_of_all, task_answers
 
 SEED = 7
-#: Catalog items, one for each group of rooms, that are small enough to fit along the axes nearly everywhere.
-SMALL = ("compact kitchen cart", "side table", "bedside table", "small cabinet")
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +62,24 @@ def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Movement sentences of all valid rooms' movable objects against the closed form, and how a small rectangle's placement is judged."""
+    """Movement sentences of all valid rooms' movable objects, in all directions, against the closed form, and how each catalog item's placement is judged.
+
+    What fits along the axes must fit for the tool; what doesn't may fit turned or stay open: n_one_sided counts these apart from matches.
+    """
     r, e = rooms(spark, sf_dir), entities(spark, sf_dir)
     own = nested(r, e)
     valid = relations.validation(r, e).where("valid").join(relations.duplicate_labels(e, "label").select("room_id").distinct(), "room_id", "left_anti").select("room_id")
-    moves = relations.slide_distance(r, e).where("direction = 'right'").join(valid, "room_id", "left_semi")
+    moves = relations.slide_distance(r, e).join(valid, "room_id", "left_semi")
     file = lambda c: F.concat(c.cast("string"), F.lit(".json")).alias("file_id")
-    asked = moves.select(F.to_json(F.struct("room_id", "label")).alias("call_id"), F.lit("test_movement").alias("tool"), F.to_json(F.struct(F.col("label").alias("object_id"), "direction", file(F.col("room_id")))).alias("arguments"), F.col("distance").alias("theirs"))
-    flat = relations.placement_axis_aligned(r, e).where(F.col("item").isin(*SMALL)).join(valid, "room_id", "left_semi")
+    asked = moves.select(F.to_json(F.struct("room_id", "label", "direction")).alias("call_id"), F.lit("test_movement").alias("tool"), F.to_json(F.struct(F.col("label").alias("object_id"), "direction", file(F.col("room_id")))).alias("arguments"), F.col("distance").alias("theirs"))
+    flat = relations.placement_axis_aligned(r, e).join(valid, "room_id", "left_semi")
     sizes = relations.catalog(spark).groupBy("item").agg(F.max("width").alias("width"), F.max("depth").alias("length"))
     flat = flat.join(F.broadcast(sizes), "item")
     asked = asked.unionByName(flat.select(F.to_json(F.struct("room_id", "item")).alias("call_id"), F.lit("find_space_with_size").alias("tool"), F.to_json(F.struct("width", "length", file(F.col("room_id")))).alias("arguments"), F.col("fits").cast("double").alias("theirs")))
     said = tool_calls(asked.drop("theirs"), own).select("call_id", F.coalesce(text.tool_status(F.col("output")).cast("double"), F.when(F.col("tool") == "test_movement", text.tool_distance(F.col("output")))).alias("ours"))
-    return results.snapshot(asked.join(said, "call_id"))
+    both = asked.join(said, "call_id")
+    one_sided = (F.col("tool") == "find_space_with_size") & (F.col("theirs") == 0) & (F.col("ours").isNull() | (F.col("ours") == 1))
+    return results.snapshot(both).join(both.groupBy("tool").agg(F.count_if(F.coalesce(one_sided, F.lit(False))).alias("n_one_sided")), "tool")
 
 
 def question_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
