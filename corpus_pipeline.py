@@ -14,11 +14,15 @@ from roomlens.llm.common import spool, table
 from roomlens.llm.line_dedup import line_dedup
 from roomlens.llm.packing import pack
 from roomlens.llm.quality_rules import passing
-from roomlens.llm.shingle_dups import shingle_groups
+from roomlens.llm.similar import similar_groups
 from roomlens.llm.simhash import one_of_each
 from roomlens.llm.suffix_dedup import suffix_dedup
 
 
+#: Bytes of a passage: over 50 words of five bytes each, with the spaces.
+PASSAGE = 256
+
+
 def _changed(docs: DataFrame, cut: DataFrame) -> DataFrame:
     """The columns of ``docs`` from ``cut``, with n_chars of the new text."""
     if "n_chars" in docs.columns:
@@ -38,12 +42,12 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles are 0.8 similar or more, one of each group stays: that with the smallest doc_id."""
-    return one_of_each(docs, shingle_groups(docs))
+    return one_of_each(docs, similar_groups(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long repeated strings are cut from the texts; no document goes."""
-    return _changed(docs, suffix_dedup(docs))
+    """Passages that occur again are cut from the texts; no document goes."""
+    return _changed(docs, suffix_dedup(docs, PASSAGE))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", shared_lines),
-    ("shingle near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("packing", packing),
 ]
