@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Tasks whose numbers may be off by a share, and the share.
 RELATIVE = {"pair_distance": "0.02", "view_angle": "0.02", "repositioning": "0.02", "max_box": "0.02", "free_space": "0.05"}
+#: The marker of a final answer (for Spark and for Python), and a number with its unit.
 FINAL = r"(?i)\*{0,2}final\s+answer\*{0,2}\s*:\s*([^\n]+)"
 NUMBER = r"(?i)^\s*([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:e[-+]?\d+)?)(?:\s*(?:m|meters?|m²|square\s+meters?))?\s*$"
 

@@ -93,6 +93,14 @@ def audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(records_of_all(own, SEED), own, every=True)
 
 
+def generation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over the records of 20 generated layouts, as many as are asked for."""
+    own = layouts(spark, sf_dir)
+    made = generate(own, 20, SEED)[0].cache()
+    keys = made.select(F.col("source_layout").alias("layout_key")).distinct()
+    return audit(made, own.join(F.broadcast(keys), "layout_key"))  # 20 keys
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "largest_empty_box": largest_empty_box,
     "max_box": _asked("max_box"),
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tool_snapshot": tool_snapshot,
     "question_generation": question_generation,
     "audit_metrics": audit_metrics,
+    "generation_checks": generation_checks,
 }
 
 ORACLES: dict[str, str] = {
