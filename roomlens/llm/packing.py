@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spool
 from .tokens import byte_bpe
 
 #: Documents in a group.
@@ -58,50 +60,67 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]
     return out
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, grp_key and ids (packed unsigned integers of 2 bytes, or 4 where the vocabulary needs them)."""
+_WIDE = np.dtype("<u2")
+#: Whole sequences and rests that one task numbers at most.
+_ROOM = 40
+
+
+def encoded(docs: DataFrame, tokenizer: str, size: int, end: int = END) -> DataFrame:
+    """doc_id, rid (a number for each row), n_ids, whole (the number of the first whole sequence) and ids (packed unsigned integers of 2 bytes).
+
+    Numbers are those of the task and of what it has seen so far; written out with the ids, they hold however often a task runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer)
+        encode, first, rows, wholes = byte_bpe(tokenizer), TaskContext.get().partitionId() << _ROOM, 0, 0
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [np.array([*encode(t or ""), end], _WIDE).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "grp_key", "ids"])
+                ids = [np.array([*encode(t or ""), end], _WIDE) for t in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in ids], np.int64)
+                before = wholes + np.cumsum(n // size) - n // size
+                cols = (first + rows + np.arange(len(ids)), n, first + before)
+                rows, wholes = rows + len(ids), wholes + int((n // size).sum())
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "rid", "n_ids", "whole", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("grp_key"), "text").mapInArrow(run, f"doc_id {kind}, grp_key long, ids binary")
-
-
-_WIDE = np.dtype("<u2")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_ids long, whole long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = END, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit integers), doc_tokens, sequence_id, offset.
 
-    Null text counts as empty: its document is the end token alone. Each row of ``docs`` is a document, repeated rows too. A null doc_id is
-    carried on. Extra columns are left out. The vocabulary must have at most 65,536 ids.
+    Only lengths are packed: a group is ``group`` rests of documents, two numbers each, dealt by a hash of their row's number, so neither
+    copies of a row nor very long texts meet in a task; ids are joined to their places after. Null text counts as empty: its
+    document is the end token alone. Each row of ``docs`` is a document, repeated rows too. A null doc_id is carried on. Extra columns are left out. The
+    vocabulary must have at most 65,536 ids.
     """
-    groups = max(1, -(-docs.count() // group))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    rows = spool(encoded(docs, tokenizer, size, end), "encoded")
+    rests = rows.select("rid", (F.col("n_ids") % size).alias("rest")).where("rest > 0")
+    groups = max(1, -(-rests.count() // group))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["grp_key"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy()))
-        ids = [np.frombuffer(x.as_py(), _WIDE) for x in table["ids"]]
-        whole = [(d, s) for d in order.tolist() for s in range(0, len(ids[d]) - size + 1, size)]
-        rest = [(d, len(ids[d]) // size * size) for d in order.tolist() if len(ids[d]) % size]
-        places = first_fit_decreasing([len(ids[d]) - s for d, s in rest], size)
-        rows = [(d, s, size, i, 0) for i, (d, s) in enumerate(whole)]
-        rows += [(d, s, len(ids[d]) - s, len(whole) + b, o) for (d, s), (b, o) in zip(rest, places, strict=True)]
-        first = key[0].as_py() << 40
-        d, s, n, b, o = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [[]] * 5))
-        return pa.table(
-            {
-                "doc_id": table["doc_id"].take(pa.array(d)).combine_chunks(), "start": s, "length": n,
-                "ids": pa.array([ids[i][x : x + k].astype("<u4").tobytes() for i, x, k, _, _ in rows], pa.binary()),
-                "doc_tokens": np.array([len(ids[i]) for i in d.tolist()], np.int64), "sequence_id": first + b, "offset": o,
-            }
-        )
-
-    rows = encoded(docs, tokenizer, end).select("doc_id", "grp_key", "ids", F.pmod("grp_key", F.lit(groups)).cast("long").alias("grp"))
-    return rows.groupBy("grp").applyInArrow(one, schema)
+        rid, rest = table["rid"].to_numpy(), table["rest"].to_numpy()
+        order = np.argsort(rid, kind="stable")
+        bins, offset = (np.array(x, np.int64) for x in zip(*first_fit_decreasing(rest[order].tolist(), size), strict=True))
+        return pa.table({"rid": rid[order], "bin": (1 << 62) + (key[0].as_py() << 32) + bins, "offset": offset})
+
+    places = rests.withColumn("grp", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("long")).groupBy("grp").applyInArrow(one, "rid long, bin long, offset long")
+    placed = rows.join(places, "rid", "left").select("doc_id", "n_ids", "whole", "ids", "bin", "offset")
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                out, of = [], []
+                for r, (n, whole, ids, bin_, offset) in enumerate(zip(*(part.column(k).to_pylist() for k in range(1, 6)), strict=True)):
+                    wide = np.frombuffer(ids, _WIDE).astype("<u4")
+                    for s in range(0, n, size):
+                        full = n - s >= size
+                        out.append((s, min(size, n - s), wide[s : s + size].tobytes(), n, whole + s // size if full else bin_, 0 if full else offset))
+                        of.append(r)
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    return placed.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

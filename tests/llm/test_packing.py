@@ -64,3 +64,17 @@ def test_ids_are_the_library_s():
     encode = byte_bpe(PATH)
     for text in ("", " ", "<|endoftext|>a<|endoftext|>", "I'll  go\n\n\t x", "é日本😀\x00\x1c", "a" * 5000, " " * 3000 + "x", "1234567 !!!"):
         assert encode(text) == library(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_copies_of_a_row_are_spread(spark):
+    """3,000 copies of one row and a very long text: groups stay small, and each id lies in one piece."""
+    rows = spark.range(3000).selectExpr("7L as doc_id", "'one two three' as text").unionByName(spark.createDataFrame([(8, "word " * 30_000)], "doc_id long, text string"))
+    got = pack(rows, PATH, group=50).toPandas()
+    own = got[got.doc_id == 7]
+    assert len(own) == 3000 and own.ids.nunique() == 1
+    assert got[got.doc_id == 8].length.sum() == got[got.doc_id == 8].doc_tokens.iloc[0] == 30_002
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+    used = got.groupby("sequence_id").length.sum()
+    assert used.max() <= 1024
+    packed = own.groupby(own.sequence_id // (1 << 32)).size()
+    assert packed.max() < 100 and len(packed) > 40
