@@ -183,7 +183,7 @@ def slide_distance(rooms: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def ray_trace(entities: DataFrame) -> DataFrame:
-    """Per pair: the labels of other entities that the segment between the centroids touches, by place of entry, then label.
+    """Per pair: the labels of other entities that the segment between the centroids touches, by place of entry, then label; a touch at an end alone doesn't count.
 
     Slab test: the segment is inside a rectangle between the latest entry and the earliest exit over both axes.
     """
@@ -193,8 +193,8 @@ def ray_trace(entities: DataFrame) -> DataFrame:
     met = p.join(c, "room_id").where("c_seq <> a_seq and c_seq <> b_seq")
 
     def slab(start: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        flat = d == 0
-        never = flat & ((start < low) | (start > high))
+        flat = F.abs(d) < 1e-9
+        never = flat & ((start < low - 1e-9) | (start > high + 1e-9))
         t1, t2 = F.try_divide(low - start, d), F.try_divide(high - start, d)
         enter = F.when(never, 2.0).when(flat, 0.0).otherwise(F.least(t1, t2))
         leave = F.when(never, -1.0).when(flat, 1.0).otherwise(F.greatest(t1, t2))
@@ -202,7 +202,7 @@ def ray_trace(entities: DataFrame) -> DataFrame:
 
     ex, lx = slab(F.col("a_cx"), dx, F.col("x1"), F.col("x2"))
     ey, ly = slab(F.col("a_cy"), dy, F.col("y1"), F.col("y2"))
-    met = met.withColumns({"enter": F.greatest(ex, ey, F.lit(0.0)), "leave": F.least(lx, ly, F.lit(1.0))}).where("enter <= leave")
+    met = met.withColumns({"enter": F.greatest(ex, ey, F.lit(0.0)), "leave": F.least(lx, ly, F.lit(1.0))}).where("enter <= leave + 1e-9 and (leave - enter > 1e-9 or enter between 1e-9 and 1 - 1e-9)")
     hits = F.array_sort(F.collect_list(F.struct(F.round("enter", 9).alias("enter"), F.lower("c_label").alias("c_label"))))
     return met.groupBy("room_id", "a_label", "b_label").agg(F.array_join(F.transform(hits, lambda h: h["c_label"]), ",").alias("hits"))
 
@@ -212,10 +212,17 @@ def catalog(spark) -> DataFrame:
     return spark.createDataFrame(rows, "source_group string, item string, width double, depth double")
 
 
+def _asked(rooms: DataFrame) -> DataFrame:
+    """Rooms with each rectangle of their group's catalog; a group without one takes that of hssd."""
+    known = F.when(F.col("source_group").isin(*CATALOG), F.col("source_group")).otherwise("hssd")
+    items = catalog(rooms.sparkSession).withColumnRenamed("source_group", "__group")
+    return rooms.join(F.broadcast(items), known == F.col("__group")).drop("__group")  # sixteen rows
+
+
 def placement_certificate(rooms: DataFrame, entities: DataFrame) -> DataFrame:
     """Catalog rectangles that can't fit because all free floor is smaller: an upper bound on any free part."""
     free = occupied_area(rooms, entities, blocks()).select("room_id", "free")
-    asked = rooms.join(F.broadcast(catalog(rooms.sparkSession)), "source_group").join(free, "room_id")
+    asked = _asked(rooms).join(free, "room_id")
     return asked.select("room_id", "item", "free", F.round(F.col("width") * F.col("depth"), 6).alias("asked"), (F.col("free") + 1e-7 < F.col("width") * F.col("depth")).alias("certified_false"))
 
 
@@ -225,7 +232,8 @@ def placement_axis_aligned(rooms: DataFrame, entities: DataFrame) -> DataFrame:
     If it fits anywhere, it fits pushed left and down against walls or blockers, so only such corners are tried.
     """
     boxes = entities.where(blocks()).groupBy("room_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
-    asked = rooms.join(entities.select("room_id").distinct(), "room_id").join(boxes, "room_id", "left").join(F.broadcast(catalog(rooms.sparkSession)), "source_group")
+    asked = rooms.join(entities.select("room_id").distinct(), "room_id").join(boxes, "room_id", "left")
+    asked = _asked(asked)
     asked = asked.withColumn("boxes", F.coalesce("boxes", F.expr("cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)")))
     turned = asked.withColumn("t", F.explode(F.array(F.struct(F.col("width").alias("w"), F.col("depth").alias("d")), F.struct(F.col("depth").alias("w"), F.col("width").alias("d")))))
     tried = turned.select("room_id", "item", "room_w", "room_h", "boxes", F.col("t.w").alias("w"), F.col("t.d").alias("d"))

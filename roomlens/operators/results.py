@@ -45,8 +45,46 @@ def by_task(results: DataFrame) -> DataFrame:
     return results.groupBy("task").agg(F.count_if("correct").alias("correct"), F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("formatting_failures"), F.count("error").alias("errors"))
 
 
-def usage(calls: DataFrame, tool: str) -> DataFrame:
-    return calls.groupBy(F.col(tool).alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+def usage(runs: DataFrame, trace: str = "tool_trace") -> DataFrame:
+    """How often each tool was called; ``trace``: an array of calls (structs with a tool) per run."""
+    return runs.select(F.explode(F.transform(trace, lambda c: c["tool"])).alias("tool")).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
+
+
+def agent_summary(runs: DataFrame) -> DataFrame:
+    """Columns correct, error, generated_tokens, model_calls and tool_trace. One row: how runs with tools went."""
+    n = F.count(F.lit(1))
+    return runs.agg(
+        n.alias("completed"), F.count_if("correct").alias("correct"), F.round(rate(F.count_if("correct"), n), 6).alias("score"), F.count("error").alias("errors"),
+        F.coalesce(F.sum("generated_tokens"), F.lit(0)).alias("generated_tokens"), F.coalesce(F.sum("model_calls"), F.lit(0)).alias("model_calls"), F.coalesce(F.sum(F.greatest(F.size("tool_trace"), F.lit(0)).cast("long")), F.lit(0)).alias("tool_calls"),
+    )
+
+
+def distributions(examples: DataFrame, *of: str) -> DataFrame:
+    """(what, value, n): how often each value of the columns ``of`` stands among the examples."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in of)))
+    return examples.select(each.alias("x")).groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_counts(records: DataFrame, source: str, layout: str) -> DataFrame:
+    """Layouts with records, by source."""
+    return records.groupBy(source).agg(F.countDistinct(layout).alias("layouts"))
+
+
+def selected(examples: DataFrame, limit: int | None = None, ids: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` examples by line_number, or those of ``ids``, in order of the file; with neither, all. Both, or an unknown id, is an error."""
+    if limit is not None and ids is not None:
+        raise ValueError("a limit and ids exclude each other")
+    if limit is not None and limit < 1:
+        raise ValueError("the limit must be positive")
+    if limit is not None:
+        return examples.orderBy("line_number").limit(limit)
+    if ids is None:
+        return examples.orderBy("line_number")
+    asked = examples.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+    unknown = [r.id for r in asked.join(examples, "id", "left_anti").orderBy("id").collect()]  # of what was asked for
+    if unknown:
+        raise ValueError(f"unknown question ids: {', '.join(unknown)}")
+    return examples.join(F.broadcast(asked), "id", "left_semi").orderBy("line_number")  # what was typed
 
 
 def completeness(records: DataFrame, layout: str) -> DataFrame:

@@ -15,9 +15,10 @@ from ..operators.layout import Layout
 from ..operators.tools import tool_calls
 from ..sources.driver_tables import LAYOUT_SQL, entities, rooms
 from ..sources.layouts import nested
+from . import kernel_oracles
 from .generate import _rows_of, audit, generate, records_of_all, task_answers
 
-SEED = 7
+SEED = kernel_oracles.SEED
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,22 @@ def _asked(task: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: task_answers(layouts(spark, sf_dir), task, SEED)
 
 
+def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair asked about in each valid room, and what lies between as a JSON list."""
+    a = task_answers(layouts(spark, sf_dir), "visibility", SEED).where("error is null")
+    return a.select(_room_id(), *(F.get_json_object("parameters", f"$.{k}").alias(k) for k in ("object_1", "object_2")), F.col("value").alias("hits"))
+
+
+def repositioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object and direction asked about in each valid room, and how far it gets, as text."""
+    a = task_answers(layouts(spark, sf_dir), "repositioning", SEED).where("error is null")
+    return a.select(_room_id(), *(F.get_json_object("parameters", f"$.{k}").alias(k) for k in ("object_to_move", "direction")), F.col("value").alias("distance"))
+
+
+def _room_id():
+    return F.regexp_extract("layout_key", r"(\d+)\.json$", 1).cast("long").alias("room_id")
+
+
 def largest_empty_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(row: dict) -> Iterator[dict]:
         yield {"room_id": int(row["layout_id"]), "area": round(float(Layout(row).largest_box()[0]), 6)}
@@ -51,14 +68,19 @@ def curve_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every room's inventory and distance sentences, through the tools."""
-    own = layouts(spark, sf_dir)
+    """What seven tools say: of every room, of its entities, and of those that follow each other in its list."""
+    own, valid = layouts(spark, sf_dir), relations.validation(rooms(spark, sf_dir), entities(spark, sf_dir)).where("valid").select(F.col("room_id").cast("string").alias("layout_id"))
+    ask = lambda tool, ids=(), **args: F.struct(F.concat_ws("/", "layout_id", F.lit(tool), *ids).alias("call_id"), F.lit(tool).alias("tool"), F.to_json(F.struct(*(c.alias(k) for k, c in args.items()))).alias("arguments"))
     file = F.concat("layout_id", F.lit(".json"))
-    ask = lambda tool, **args: F.struct(F.lit(tool).alias("tool"), F.to_json(F.struct(file.alias("file_id"), *(c.alias(k) for k, c in args.items()))).alias("arguments"))
-    ends = {"object_id_1": F.get("entities", F.lit(0))["label"], "object_id_2": F.element_at("entities", -1)["label"]}
-    calls = own.select("layout_id", F.explode(F.array(ask("inspect_room"), ask("pair_distance", **ends), ask("ray_trace", **ends))).alias("c"))
-    calls = calls.select(F.concat_ws("/", "layout_id", "c.tool").alias("call_id"), "c.tool", "c.arguments")
-    return tool_calls(calls, own)
+    far = F.get(F.get("room", F.lit(2)), F.lit(0)), F.get(F.get("room", F.lit(2)), F.lit(1))
+    whole = F.array(ask("inspect_room", file_id=file), ask("calculator", operand_1=far[0], operand_2=far[1], operator=F.lit("mul")))
+    each = F.transform("entities", lambda e: ask("inspect_entity", (e["label"],), object_id=e["label"], file_id=file))
+    labels = F.transform("entities", lambda e: e["label"])
+    ends = F.arrays_zip(F.slice(labels, 1, F.size(labels) - 1).alias("a"), F.slice(labels, 2, F.size(labels)).alias("b"))
+    of_two = lambda tool: F.transform(ends, lambda p: ask(tool, (p["a"], p["b"]), object_id_1=p["a"], object_id_2=p["b"], file_id=file))
+    calls = own.select("layout_id", F.explode(F.concat(whole, each, *map(of_two, ("pair_distance", "view_angle", "ray_trace")))).alias("c"))
+    calls = calls.unionByName(own.join(valid, "layout_id", "left_semi").select("layout_id", ask("occupied_floor_area", file_id=file).alias("c")))
+    return tool_calls(calls.select("c.*"), own)
 
 
 def tool_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_box": _asked("max_box"),
     "placement_any_rotation": _asked("placement"),
     "shortest_path": _asked("shortest_path"),
-    "repositioning": _asked("repositioning"),
-    "visibility": _asked("visibility"),
+    "repositioning": repositioning,
+    "visibility": visibility,
     "curve_distance": curve_distance,
     "tool_outputs": tool_outputs,
     "tool_snapshot": tool_snapshot,
@@ -127,4 +149,4 @@ gy AS (SELECT a.room_id, a.y AS d, b.y AS u FROM ys a JOIN ys b ON a.room_id = b
 box AS (SELECT * FROM gx JOIN gy USING (room_id)),
 free AS (SELECT * FROM box WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.room_id = box.room_id AND k.x1 < r AND k.x2 > l AND k.y1 < u AND k.y2 > d))
 SELECT held.room_id, round(coalesce(max((r - l) * (u - d)), 0), 6) AS area FROM held LEFT JOIN free ON free.room_id = held.room_id GROUP BY held.room_id""",
-}
+} | kernel_oracles.ORACLES

@@ -42,6 +42,12 @@ _C = "c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM entities)"
 _PAIRS = f"""{_C},
 p AS (SELECT a.room_id, a.seq AS a_seq, b.seq AS b_seq, a.label AS a_label, b.label AS b_label, a.cx AS a_cx, a.cy AS a_cy, b.cx - a.cx AS dx, b.cy - a.cy AS dy
       FROM c a JOIN c b ON a.room_id = b.room_id AND a.seq < b.seq)"""
+#: Where the segment of a pair enters and leaves the slabs of a rectangle, and whether it touches it, at more than an end.
+SLAB = """  CASE WHEN abs(dx) < 1e-9 THEN CASE WHEN a_cx < x1 - 1e-9 OR a_cx > x2 + 1e-9 THEN 2.0 ELSE 0.0 END ELSE least((x1 - a_cx) / dx, (x2 - a_cx) / dx) END AS ex,
+  CASE WHEN abs(dx) < 1e-9 THEN CASE WHEN a_cx < x1 - 1e-9 OR a_cx > x2 + 1e-9 THEN -1.0 ELSE 1.0 END ELSE greatest((x1 - a_cx) / dx, (x2 - a_cx) / dx) END AS lx,
+  CASE WHEN abs(dy) < 1e-9 THEN CASE WHEN a_cy < y1 - 1e-9 OR a_cy > y2 + 1e-9 THEN 2.0 ELSE 0.0 END ELSE least((y1 - a_cy) / dy, (y2 - a_cy) / dy) END AS ey,
+  CASE WHEN abs(dy) < 1e-9 THEN CASE WHEN a_cy < y1 - 1e-9 OR a_cy > y2 + 1e-9 THEN -1.0 ELSE 1.0 END ELSE greatest((y1 - a_cy) / dy, (y2 - a_cy) / dy) END AS ly"""
+MET = "greatest(ex, ey, 0.0) <= least(lx, ly, 1.0) + 1e-9 AND (least(lx, ly, 1.0) - greatest(ex, ey, 0.0) > 1e-9 OR greatest(ex, ey, 0.0) BETWEEN 1e-9 AND 1 - 1e-9)"
 _BLOCKER = "NOT is_soft AND NOT is_ceiling"
 
 
@@ -115,13 +121,8 @@ FROM v LEFT JOIN o ON o.room_id = v.room_id GROUP BY v.room_id""",
     ),
     "ray_trace": _with(
         _PAIRS,
-        """t AS (SELECT p.*, e.label AS c_label,
-  CASE WHEN dx = 0 THEN CASE WHEN a_cx < x1 OR a_cx > x2 THEN 2.0 ELSE 0.0 END ELSE least((x1 - a_cx) / dx, (x2 - a_cx) / dx) END AS ex,
-  CASE WHEN dx = 0 THEN CASE WHEN a_cx < x1 OR a_cx > x2 THEN -1.0 ELSE 1.0 END ELSE greatest((x1 - a_cx) / dx, (x2 - a_cx) / dx) END AS lx,
-  CASE WHEN dy = 0 THEN CASE WHEN a_cy < y1 OR a_cy > y2 THEN 2.0 ELSE 0.0 END ELSE least((y1 - a_cy) / dy, (y2 - a_cy) / dy) END AS ey,
-  CASE WHEN dy = 0 THEN CASE WHEN a_cy < y1 OR a_cy > y2 THEN -1.0 ELSE 1.0 END ELSE greatest((y1 - a_cy) / dy, (y2 - a_cy) / dy) END AS ly
-FROM p JOIN entities e ON e.room_id = p.room_id AND e.seq <> a_seq AND e.seq <> b_seq)""",
-        "SELECT room_id, a_label, b_label, string_agg(lower(c_label), ',' ORDER BY round(greatest(ex, ey, 0.0), 9), lower(c_label)) AS hits FROM t WHERE greatest(ex, ey, 0.0) <= least(lx, ly, 1.0) GROUP BY ALL",
+        f"t AS (SELECT p.*, e.label AS c_label, {SLAB} FROM p JOIN entities e ON e.room_id = p.room_id AND e.seq <> a_seq AND e.seq <> b_seq)",
+        f"SELECT room_id, a_label, b_label, string_agg(lower(c_label), ',' ORDER BY round(greatest(ex, ey, 0.0), 9), lower(c_label)) AS hits FROM t WHERE {MET} GROUP BY ALL",
     ),
     "placement_certificate": _with(
         _occupied(_BLOCKER),

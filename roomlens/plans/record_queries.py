@@ -93,6 +93,19 @@ def _deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.source_deviation(r.join(_valid_rooms(spark, sf_dir), "room_id", "left_semi"), r, "source_group")
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with tools per user: their events in order are the calls."""
+    e = _table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.col("event_type").alias("tool"), "value").alias("c"))
+    runs = e.groupBy("user_id").agg(F.array_sort(F.collect_list("c")).alias("tool_trace"))
+    u = F.col("user_id")
+    return runs.select("user_id", "tool_trace", (u % 3 == 0).alias("correct"), F.when(u % 11 == 0, "timeout").alias("error"), (u % 700).alias("generated_tokens"), (u % 8 + 1).alias("model_calls"))
+
+
+def _picked(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    a = answers(spark, sf_dir).select(F.concat(F.lit("q-"), F.col("id").cast("string")).alias("id"), F.col("id").alias("line_number"), "task")
+    return results.selected(a, **how)
+
+
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rooms(spark, sf_dir).join(entities(spark, sf_dir).select("room_id").distinct(), "room_id", "left_semi")
     v = relations.validation(r, entities(spark, sf_dir))
@@ -120,7 +133,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": lambda s, d: results.run_summary(_results(s, d)),
     "by_task": lambda s, d: results.by_task(_results(s, d)),
     "failed_ids": lambda s, d: _results(s, d).where("not correct").select("id", "task"),
-    "tool_usage": lambda s, d: results.usage(_table(s, d, "events"), "event_type"),
+    "tool_usage": lambda s, d: results.usage(_runs(s, d)),
+    "agent_summary": lambda s, d: results.agent_summary(_runs(s, d)),
+    "selected_distributions": lambda s, d: results.distributions(answers(s, d).withColumn("source", F.col("id") % 4), "task", "source"),
+    "source_counts": lambda s, d: results.source_counts(entities(s, d).join(rooms(s, d), "room_id"), "source_group", "room_id"),
+    "first_questions": lambda s, d: _picked(s, d, limit=50),
     "completeness": lambda s, d: results.completeness(answers(s, d).withColumn("layout", F.floor(F.col("id") / 8.0)), "layout"),
     "source_deviation": _deviation,
     "gates": _gates,
@@ -196,7 +213,11 @@ SELECT operator, CASE WHEN operator = 'pow' THEN 'unknown operator' WHEN operato
         "run_summary": _on_answers("SELECT count(*) AS completed, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) / count(*)::double, 6) AS score, count(*) FILTER (parsed IS NULL AND error IS NULL) AS formatting_failures, count(error) AS errors, sum(tokens)::bigint AS tokens, round(sum(duration), 4) AS duration FROM results"),
         "by_task": _on_answers("SELECT task, count(*) FILTER (correct) AS correct, count(*) AS total, count(*) FILTER (parsed IS NULL AND error IS NULL) AS formatting_failures, count(error) AS errors FROM results GROUP BY task"),
         "failed_ids": _on_answers("SELECT id, task FROM results WHERE NOT correct"),
-        "tool_usage": "SELECT event_type AS tool, count(*) AS n FROM events GROUP BY event_type",
+        "tool_usage": "WITH runs AS (SELECT user_id, list(event_type) AS trace FROM events GROUP BY user_id) SELECT tool, count(*) AS n FROM (SELECT unnest(trace) AS tool FROM runs) GROUP BY tool",
+        "agent_summary": "WITH runs AS (SELECT user_id AS u, count(*) AS calls FROM events GROUP BY user_id) SELECT count(*) AS completed, count(*) FILTER (u % 3 = 0) AS correct, round(count(*) FILTER (u % 3 = 0) / count(*)::double, 6) AS score, count(*) FILTER (u % 11 = 0) AS errors, sum(u % 700)::bigint AS generated_tokens, sum(u % 8 + 1)::bigint AS model_calls, sum(calls)::bigint AS tool_calls FROM runs",
+        "selected_distributions": _on_answers("SELECT what, value, count(*) AS n FROM (SELECT 'task' AS what, task AS value FROM answers UNION ALL SELECT 'source', (id % 4)::varchar FROM answers) GROUP BY ALL"),
+        "source_counts": _on_layouts("SELECT source_group, count(DISTINCT r.room_id) AS layouts FROM rooms r JOIN entities e ON e.room_id = r.room_id GROUP BY ALL"),
+        "first_questions": _on_answers("SELECT 'q-' || id AS id, id AS line_number, task FROM answers ORDER BY line_number LIMIT 50"),
         "completeness": _on_answers(f"""SELECT count(*) AS layouts, count(*) FILTER (ok) AS complete, round(count(*) FILTER (ok) / count(*)::double, 6) AS rate
 FROM (SELECT layout, count(*) = {len(results.TASKS)} AND max(n) = 1 AND sum(n) = {len(results.TASKS)} AS ok FROM (SELECT id // 8 AS layout, task, count(*) AS n FROM answers GROUP BY ALL) GROUP BY layout)"""),
         "source_deviation": f"""WITH v AS (SELECT room_id FROM ({valid}) WHERE valid), r AS (SELECT room_id, source_group FROM (WITH {LAYOUT_SQL} SELECT * FROM rooms)),
