@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +38,9 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     }).drop("_bad")
 
 
-def write_lines(records: DataFrame, path: str, order_by: tuple[str, ...] = ()) -> None:
-    """A folder of JSON-line files, in order of ``order_by`` across and inside files."""
-    (records.orderBy(*order_by) if order_by else records).write.json(path, ignoreNullFields=False)
+def write_lines(records: DataFrame, path: str, order_by: tuple[str, ...] = (), mode: str = "error") -> None:
+    """A folder of JSON-line files, in order of ``order_by`` across and inside files. ``mode``: what to do if it exists."""
+    (records.orderBy(*order_by) if order_by else records).write.mode(mode).json(path, ignoreNullFields=False)
 
 
 def write_layouts(layouts: DataFrame, path: str, split: str) -> None:
@@ -53,12 +51,10 @@ def write_layouts(layouts: DataFrame, path: str, split: str) -> None:
     body = F.to_json(F.struct("layout_id", "room_type", points(F.col("room")).alias("room_boundary"), section("objects").alias("objects"), F.struct(section("doors").alias("doors"), section("windows").alias("windows")).alias("openings")))
     rows = layouts.select("source_group", F.concat_ws("-", "source_group", "layout_id", F.lit(split)).alias("name"), body.alias("body"))
 
-    def put(part: Iterator) -> None:
-        for row in part:
-            os.makedirs(f"{path}/{row['source_group']}", exist_ok=True)
-            write_report(f"{path}/{row['source_group']}/{row['name']}.json", json.loads(row["body"]))
-
-    rows.foreachPartition(put)
+    # written by the driver as they come, since executors have disks of their own; as many as were asked for
+    for row in rows.toLocalIterator():
+        os.makedirs(f"{path}/{row['source_group']}", exist_ok=True)
+        write_report(f"{path}/{row['source_group']}/{row['name']}.json", json.loads(row["body"]))
 
 
 def write_report(path: str, report: dict) -> None:
