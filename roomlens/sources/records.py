@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
