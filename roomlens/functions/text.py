@@ -73,7 +73,7 @@ def scalar_correct(task: Column, actual: Column, expected: Column) -> Column:
 
 def same_set(a: Column, b: Column) -> Column:
     """Whether two arrays of labels hold the same, case and order apart."""
-    clean = lambda c: F.array_sort(F.array_distinct(F.transform(c, F.lower)))
+    clean = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: F.lower(F.upper(x)))))
     return F.coalesce(clean(a) == clean(b), F.lit(False))
 
 
