@@ -25,7 +25,7 @@ BINS, PAIR_BINS, PAIRS = 64, 12, 8
 
 FEATURES = (
     "log_words", "log_chars_per_word", "spread_of_word_length", "distinct_words", "distinct_pairs", "repeated_neighbours", "log_words_per_line", "repeated_lines", "short_lines",
-    "symbols", "bars", "marks", "stops_and_commas", "digits", "capitals", "all_capital_words", "other_letters", "longest_word", "most_frequent_word",
+    "symbols", "bars", "marks", "stops_and_commas", "digits", "letters_beyond_a_z", "all_capital_words", "bars_tabs_returns", "longest_word", "most_frequent_word",
 )
 _SYMBOL = re.compile(r"[#*$%&<>{}\[\]\\^~=_+/@]")
 _MARK = re.compile(r"[!?;:]")
