@@ -65,9 +65,14 @@ def view_angle(entities: DataFrame) -> DataFrame:
     return pairs(centred(entities)).where(size > 1e-12).select("room_id", "a_label", "b_label", F.round(angle, 6).alias("angle"))
 
 
+def _corners() -> Column:
+    """Distinct corners of a rectangle; one without width or depth has two or one."""
+    return F.size(F.array_distinct(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))))
+
+
 def inspect_entity(entities: DataFrame) -> DataFrame:
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return centred(entities).select("room_id", "label", "kind", *(F.round(c, 6).alias(c) for c in ("cx", "cy")), "x1", "y1", "x2", "y2", F.round(area, 6).alias("area"), F.lit(4).alias("n_vertices"))
+    return centred(entities).select("room_id", "label", "kind", *(F.round(c, 6).alias(c) for c in ("cx", "cy")), "x1", "y1", "x2", "y2", F.round(area, 6).alias("area"), _corners().alias("n_vertices"))
 
 
 def inspect_room(rooms: DataFrame, entities: DataFrame) -> DataFrame:

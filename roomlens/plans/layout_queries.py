@@ -82,7 +82,7 @@ def _preferred(where: str, tokens: dict[str, tuple[str, ...]], least: int) -> st
 ORACLES: dict[str, str] = {
     "pair_distance": _with(_PAIRS, "SELECT room_id, a_label, b_label, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM p"),
     "view_angle": _with(_PAIRS, "SELECT room_id, a_label, b_label, round(degrees(acos(greatest(-1.0, least(1.0, dy / sqrt(dx * dx + dy * dy))))), 6) AS angle FROM p WHERE sqrt(dx * dx + dy * dy) > 1e-12"),
-    "inspect_entity": _with(_C, "SELECT room_id, label, kind, round(cx, 6) AS cx, round(cy, 6) AS cy, x1, y1, x2, y2, round((x2 - x1) * (y2 - y1), 6) AS area, 4::int AS n_vertices FROM c"),
+    "inspect_entity": _with(_C, "SELECT room_id, label, kind, round(cx, 6) AS cx, round(cy, 6) AS cy, x1, y1, x2, y2, round((x2 - x1) * (y2 - y1), 6) AS area, len(list_distinct([[x1, y1], [x2, y1], [x2, y2], [x1, y2]]))::int AS n_vertices FROM c"),
     "inspect_room": _with(
         "g AS (SELECT room_id, kind, type, count(*) AS n, string_agg(label, ', ' ORDER BY seq) AS ids FROM entities GROUP BY ALL)",
         "SELECT g.room_id, source_group, round(room_w * room_h, 6) AS room_area, kind, type, n, ids FROM g JOIN rooms r ON r.room_id = g.room_id",

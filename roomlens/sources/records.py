@@ -78,7 +78,7 @@ def same_bytes(spark: SparkSession, a: str, b: str) -> bool:
 
 
 def natural_key(name):
-    """Orders names with runs of digits as numbers, as long as these have at most 12 digits."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 12, "0")).otherwise(p)), "")
-
-
+    """Orders names with runs of digits as numbers: a run is led by how many digits it has, leading zeros left out."""
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))).otherwise(p)), "")
