@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,22 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows (the last may have fewer) that hold whole runs of equal keys (the first column) of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key = whole.column(0).to_numpy()
+            cut = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])  # the last run may go on
+            if cut:
+                yield whole.slice(0, cut).combine_chunks()
+            held = whole.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component its smallest node.
 

@@ -2,15 +2,17 @@
 
 Method: collision counting. Vectors are projected on many random lines; on each line, two vectors collide if
 one lies in the window centred at the other. A pair that collides on enough lines is verified by its exact cosine. The
-window and the count are calibrated so that a pair right at the threshold passes with the chance ``recall``; the windows of a line
-are found by sorting it.
-
-Counting for all pairs of a corpus would be quadratic. So vectors are first dealt to cells, in ``tables`` ways,
-by the side of zero on which they lie on a few more lines; pairs are counted in cells only. The number of lines grows with
-the logarithm of the number of vectors, so that cells stay small, and the number of tables follows from the chance that
-a pair at the threshold shares a cell in at least one. A pair that shares several cells is judged in the first only, so its links are
-counted once without gathering pairs. Cells of more than ``BLOCK`` vectors (a group of near copies) are split into blocks and dealt
-out by pairs of blocks. Equal vectors are made one before all this, with a weight.
+window and the count are calibrated so that a pair right at the threshold passes with the chance ``recall``. A pair that passes misses few
+windows, so it is found by sorting on one of the first few lines and looking along the window.
+
+Counting for all pairs of a corpus would be quadratic. So vectors are first dealt to cells, in ``tables`` ways, by the side of zero on which
+they lie on a few more lines; windows are looked along in cells only. The number of those lines grows with the logarithm of the number of
+vectors, so that cells stay small, and the number of tables follows from the chance that a pair at the threshold shares a cell in at least one.
+
+To the cells go a number and the places on the lines, a byte each (windows are a step wider, so none is lost), and not the vector. Only
+vectors with enough collisions in a cell are fetched for it and verified there. A pair that shares several cells is judged in the first only, so its
+links are counted once without gathering pairs. Cells of more than ``BLOCK`` vectors (a group of near copies) go straight to verification, split
+into blocks and dealt out by pairs of blocks. Equal vectors are made one before all this, with a weight.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, spool
+from .common import components, spool, whole_runs
 
-#: Vectors in a block; vectors that a cell has on average.
-BLOCK, CELL = 2048, 48
+#: Vectors in a block; vectors that a cell has on average; steps of a place in a window.
+BLOCK, CELL, FINE = 2048, 128, 28
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,45 @@ class Plan:
         """Place of each unit vector on each line."""
         return x @ np.random.default_rng(7).standard_normal((x.shape[1], self.lines))
 
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """Places in whole steps, a byte each; what collides is at most FINE + 1 steps apart."""
+        return np.clip(np.rint(self.places(x) * (FINE / self.window)), -127, 127).astype(np.int8)
+
+
+def with_mates(cell: np.ndarray, steps: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which vectors collide often enough with another of their cell; ``cell`` is ascending.
+
+    All cells are sorted together on a line, and each vector looks along its window; a pair is judged at the first line where it collides.
+    """
+    rank = np.cumsum(np.append(False, cell[1:] != cell[:-1])) << 10
+    at, has = steps.astype(np.int16), np.zeros(len(cell), bool)
+    for line in range(plan.lines - plan.count + 1):
+        order = np.argsort(rank + at[:, line], kind="stable")
+        place = (rank + at[:, line])[order]
+        until = np.searchsorted(place, place + FINE + 1, "right")
+        span = until - np.arange(len(place)) - 1
+        ends = np.cumsum(span)
+        begin = 0
+        while begin < len(span):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20), "right")))
+            n = span[begin:end]
+            i = np.repeat(np.arange(begin, end), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = order[i], order[j]
+            new = ~(has[i] & has[j])
+            i, j = i[new], j[new]
+            for earlier in range(line):
+                new = np.abs(at[i, earlier] - at[j, earlier]) > FINE + 1
+                i, j = i[new], j[new]
+            missed = np.zeros(len(i), np.int8)
+            for other in range(plan.lines):
+                missed += np.abs(at[i, other] - at[j, other]) > FINE + 1
+                on = missed <= plan.lines - plan.count
+                i, j, missed = i[on], j[on], missed[on]
+            has[i] = has[j] = True
+            begin = end
+    return has
+
 
 def units(raw: list[bytes]) -> np.ndarray:
     """Unit vectors in double precision of packed doubles of one length."""
@@ -156,25 +197,36 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, recall: float =
     plan = Plan.of(classes.count(), threshold, recall)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+            dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                flat = part.column(3).flatten().to_numpy().reshape(part.num_rows, dim)
-                raw = [v.tobytes() for v in np.ascontiguousarray(flat)]
-                cells = plan.cells(units(raw))
-                for t in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * part.num_rows, pa.int32()), pa.array(cells[:, t]), part.column(2), part.column(0), part.column(1), pa.array(raw, pa.binary())], ["tbl", "cell", "dim", "cls", "n", "e"])
-
-    dealt = classes.select("cls", "n", "dim", "e").mapInArrow(deal, "tbl int, cell long, dim int, cls long, n long, e binary")
-    dealt = spool(dealt, "cells")
-    counts = spool(dealt.groupBy("tbl", "cell", "dim").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "counts")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = dealt.join(counts, ["tbl", "cell", "dim"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = ["tbl", "cell", "dim", "x", "y"]
-    placed = placed.select("tbl", "cell", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "n", "e")
-    placed = placed.repartition(*pair).sortWithinPartitions(*pair)
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, dim)
+                x = units([v.tobytes() for v in np.ascontiguousarray(x)])
+                cells, tables = plan.cells(x), plan.tables
+                key = (cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(tables, dtype=np.uint64) + np.uint64(dim << 20)) * np.uint64(0xD6E8FEB86659FD93)
+                steps = [r.tobytes() for r in plan.steps(x)]
+                t = np.tile(np.arange(tables, dtype=np.int32), len(x))
+                cols = (key.view(np.int64).ravel(), t, np.repeat(part.column(0).to_numpy(), tables))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(np.array(steps, object), tables), pa.binary())], ["key", "tbl", "cls", "steps"])
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches):
+            steps = np.frombuffer(b"".join(table["steps"].to_pylist()), np.int8).reshape(table.num_rows, plan.lines)
+            has = pa.array(with_mates(table["key"].to_numpy(), steps, plan))
+            yield from table.select(["key", "tbl", "cls"]).filter(has).combine_chunks().to_batches()
+
+    dealt = spool(classes.select("cls", "dim", "e").mapInArrow(deal, "key long, tbl int, cls long, steps binary"), "cells")
+    full = spool(dealt.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "full")
+    small = dealt.join(full, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(mates, "key long, tbl int, cls long")
+    large = dealt.drop("steps").join(full, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("key", "tbl", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    met = spool(small.select("*", *(F.lit(0).alias(c) for c in ("x", "y", "block"))).unionByName(large), "mates")
+    # as bytes, which the Python side reads without a conversion of each component
+    packed = classes.select("cls", "n", "dim", "e").mapInArrow(_packed, "cls long, n long, dim int, e binary")
+    pair = ["tbl", "key", "dim", "x", "y"]
+    placed = met.join(packed, "cls").select("tbl", "key", "dim", "x", "y", "block", "cls", "n", "e").repartition(*pair).sortWithinPartitions(*pair)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (t, _, _, x, y), table in _runs(batches, pair):
@@ -196,6 +248,12 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, recall: float =
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [np.asarray(v.values, np.float64).tobytes() for v in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(raw, pa.binary())], ["cls", "n", "dim", "e"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of equal keys in sorted batches; a run that spans batches is put together."""
     held: list[pa.RecordBatch] = []

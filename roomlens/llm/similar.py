@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, components, spool
+from .common import UPPER, components, spool, whole_runs
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
 WIDTH, BLOCK, REFERENCES = 1024, 1 << 15, 16
@@ -149,22 +149,6 @@ def linked(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) ->
     return i, j
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal first columns."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= least:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            key = whole.column(0).to_numpy()
-            cut = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])  # the last run may go on
-            if cut:
-                yield whole.slice(0, cut).combine_chunks()
-            held = whole.slice(cut).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return starts, np.diff(np.append(starts, len(key)))
@@ -209,14 +193,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words_in_shi
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "id", "part"])
 
     def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches):
+        for table in whole_runs(batches):
             key, part = table["key"].to_numpy(), table["part"].to_numpy().view(np.uint64)
             i, j = linked(part[:, None], *_runs(key), loose)
             has = np.unique(np.concatenate([i, j]))
             yield pa.RecordBatch.from_arrays([pa.array(key[has]), pa.array(table["id"].to_numpy()[has])], ["key", "id"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _buckets(batches, 1 << 13):
+        for table in whole_runs(batches, 1 << 13):
             fp = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(-1, _WORDS)
             i, j = linked(fp, *_runs(table["key"].to_numpy()), most)
             ids = table["id"].to_numpy()

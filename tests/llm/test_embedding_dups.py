@@ -85,3 +85,44 @@ def test_sorted_windows_find_what_all_pairs_find():
     found = [p for a, b in E.window_pairs(places, plan, np.arange(400), None) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(found) == len(set(found))
     assert set(found) == want
+
+
+def test_mates_are_all_that_collide():
+    rng = np.random.default_rng(8)
+    x = E.units([v.tobytes() for v in np.concatenate([rng.standard_normal((300, 8)), rng.standard_normal(8) + 0.2 * rng.standard_normal((100, 8))])])
+    plan, cell = E.Plan.of(100), np.sort(rng.integers(0, 9, 400))
+    has = E.with_mates(cell, plan.steps(x), plan)
+    i, j = np.triu_indices(400, 1)
+    i, j = (v[cell[i] == cell[j]] for v in (i, j))
+    sure, at = np.unique(np.concatenate(E.collided(plan.places(x), i, j, plan))), plan.steps(x).astype(int)
+    assert has[sure].all()
+    near = (np.abs(at[i] - at[j]) <= E.FINE + 1).sum(axis=1) >= plan.count
+    assert set(np.flatnonzero(has).tolist()) == set(i[near].tolist()) | set(j[near].tolist())
+
+
+def at_threshold(n, pairs, dim=48, seed=3):
+    """Random vectors, and partners of some of them at a cosine of 0.900 to 0.910."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((pairs, dim))
+    away -= (away * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.91, (pairs, 1))
+    return np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c * c) * away])
+
+
+def test_recall_at_the_threshold(spark):
+    x = at_threshold(5000, 1000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.embedding_links(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert all(got[i].n_links <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+    assert sum(r.n_links for r in got.values()) >= 0.95 * near.sum()
+
+
+def test_full_cells_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 40)
+    test_recall_and_no_false_link(spark)
