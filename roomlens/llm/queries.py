@@ -52,6 +52,16 @@ def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+_OP6_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings),
+sound AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM sound),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_inner_product(a.u, b.u) >= 0.9),
+reached AS (SELECT a AS vec_id, a AS least FROM links UNION SELECT a AS vec_id, b AS least FROM links UNION SELECT l.b AS vec_id, r.least FROM reached r JOIN links l ON l.a = r.vec_id),
+least AS (SELECT vec_id, min(least) AS least FROM reached GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(least, e.vec_id) AS component_id, coalesce(least, e.vec_id) = e.vec_id AS kept FROM e LEFT JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -128,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": _OP7_SQL, "op9_quality_rules": _op9_sql()}
+ORACLES: dict[str, str] = {"op6_embedding_dups": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op9_quality_rules": _op9_sql()}
