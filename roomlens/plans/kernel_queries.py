@@ -25,6 +25,19 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested(rooms(spark, sf_dir), entities(spark, sf_dir))
 
 
+def keys_and_pick(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The keys of all layouts, and what nests the layouts of a few keys without nesting the others."""
+    r, e = rooms(spark, sf_dir), entities(spark, sf_dir)
+    key = F.concat_ws("/", "source_group", F.concat(F.col("room_id").cast("string"), F.lit(".json"))).alias("layout_key")
+    held = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("room_id")).distinct()
+
+    def pick(few: DataFrame) -> DataFrame:
+        ids = F.broadcast(few.select(_room_id()))
+        return nested(r.join(ids, "room_id", "left_semi"), e.join(ids, "room_id", "left_semi"))
+
+    return r.join(held, "room_id", "left_semi").select(key), pick
+
+
 def _asked(task: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: task_answers(layouts(spark, sf_dir), task, SEED)
 
@@ -106,7 +119,8 @@ def tool_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of 100 layouts, as many as are asked for."""
-    return generate(layouts(spark, sf_dir), 100, SEED)[0].select("id", "task", "parameters", "answer", "reference_answer")
+    keys, pick = keys_and_pick(spark, sf_dir)
+    return generate(keys, 100, SEED, pick=pick)[0].select("id", "task", "parameters", "answer", "reference_answer")
 
 
 def audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +131,9 @@ def audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates over the records of 20 generated layouts, as many as are asked for."""
-    own = layouts(spark, sf_dir)
-    made = generate(own, 20, SEED)[0].cache()
-    keys = made.select(F.col("source_layout").alias("layout_key")).distinct()
-    return audit(made, own.join(F.broadcast(keys), "layout_key"))  # 20 keys
+    keys, pick = keys_and_pick(spark, sf_dir)
+    made = generate(keys, 20, SEED, pick=pick)[0].cache()
+    return audit(made, pick(made.select(F.col("source_layout").alias("layout_key")).distinct()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
