@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, bind, lower_ascii, spool
-from .twice import keep_suspected, twice_filter
+from .twice import bits_for, keep_suspected, twice_filter
 
 
 def line_key(line: Column) -> Column:
@@ -22,16 +22,19 @@ def _lines() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int = 1 << 25) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, filter_bits: int | None = None) -> DataFrame:
     """``docs`` with ``text`` after the drop, n_lines (before it) and n_dropped.
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents (distinct doc_id; a null one counts as a
     document below all others) loses its lines except in the largest doc_id that holds it; that one keeps all of them. Null
     text counts as one empty line and comes back empty. Repeated rows are one document and are cut alike.
-    All other columns pass through; columns named n_lines or n_dropped are replaced.
+    All other columns pass through; columns named n_lines or n_dropped are replaced. filter_bits: size of the filters, by default by the number of lines.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), _lines().alias("lines"))
     keys = rows.select(F.explode(F.array_distinct(F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars))).alias("key"))
+    if filter_bits is None:
+        lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0]
+        filter_bits = bits_for(lines or 0)
     found = twice_filter(keys.select(F.xxhash64("key").alias("h")), filter_bits)
 
     placed = rows.select("doc_id", "row", F.posexplode("lines").alias("at", "line"))

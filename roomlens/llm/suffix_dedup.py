@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bwt import merge, transform
 from .common import spool
-from .twice import keep_suspected, twice_filter
+from .twice import bits_for, keep_suspected, twice_filter
 
 #: Bytes whose hash makes an anchor; strings in a class; different surroundings that are merged in one task.
 GRAM, CLASS, LIMIT = 8, 32, 512
@@ -128,10 +128,11 @@ def merged_masks(inner: np.ndarray, around: list[bytes], n: np.ndarray, valid: n
     return masks
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 25) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int | None = None) -> DataFrame:
     """(doc_id, row, spans): for documents with repeats, the starts of strings that occur elsewhere, as [first, last, first, last, ...].
 
-    row is xxhash64 of the text; repeated rows of one doc_id and text have the same spans and one row here.
+    row is xxhash64 of the text; repeated rows of one doc_id and text have the same spans and one row here. filter_bits: size of
+    the filters, by default by the number of anchors and of classes.
     """
     plan = _Plan(length)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -154,17 +155,17 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
 
     every = spool(rows.select("did", "text").where(F.octet_length("text") >= length).mapInArrow(anchor_rows, "did long, key long, ctx long, n long"), "anchors")
     # a key that one document holds twice counts as seen twice
-    twice = twice_filter(every.select(F.explode(F.when(F.col("n") > 1, F.array("key", "key")).otherwise(F.array("key")))), filter_bits)
+    twice = twice_filter(every.select(F.explode(F.when(F.col("n") > 1, F.array("key", "key")).otherwise(F.array("key")))), filter_bits or bits_for(every.count()))
     likely = spool(keep_suspected(every, "key", twice), "likely")
     contexts = likely.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("did").alias("rep"))
     contexts = spool(contexts, "contexts")
     keys = spool(contexts.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).where(F.col("all") > 1), "keys")
     # kind 0: the context repeats; 1: only a part may; 2: it repeats, and this document brings it as a partner for parts
-    judged = contexts.join(keys, "key").select("ctx", "n", "rep", "different")
+    judged = contexts.join(keys, "key").select("key", "ctx", "n", "rep", "different")
     judged = spool(judged, "judged")
-    listed = likely.select("did", "ctx").join(judged, "ctx")
+    listed = likely.select("did", "key", "ctx").join(judged, ["key", "ctx"])
     kind = F.when(F.col("n") == 1, 1).when((F.col("different") > 1) & (F.col("rep") == F.col("did")), 2).otherwise(0)
-    listed = listed.select("did", F.struct("ctx", kind.cast("int").alias("kind")).alias("c")).groupBy("did").agg(F.collect_set("c").alias("contexts"))
+    listed = listed.select("did", F.struct("key", "ctx", kind.cast("int").alias("kind")).alias("c")).groupBy("did").agg(F.collect_set("c").alias("contexts"))
     found = rows.join(listed, "did").select("doc_id", "row", "text", "contexts")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +173,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 out: tuple[list, ...] = tuple([] for _ in range(9))
                 for doc, row, text, listed in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    kinds = {c["ctx"]: c["kind"] for c in listed}
+                    kinds = {(c["key"], c["ctx"]): c["kind"] for c in listed}
                     data, spans, classes = text.encode(), [], []
-                    for a, lo, hi, _, context in plan.of(data):
-                        kind = kinds.get(context)
+                    for a, lo, hi, key, context in plan.of(data):
+                        kind = kinds.get((key, context))
                         if kind is None:
                             continue
                         if kind != 1:
@@ -196,7 +197,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
     whole = done.where("spans is not null and size(spans) > 0").select("doc_id", "row", "spans")
     classes = done.where("spans is null")
     # inner bytes that no other class has leave nothing open
-    classes = spool(keep_suspected(classes.drop("spans"), "inner", twice_filter(classes.select("inner"), filter_bits)), "classes")
+    classes = spool(keep_suspected(classes.drop("spans"), "inner", twice_filter(classes.select("inner"), filter_bits or bits_for(classes.count()))), "classes")
     outers = spool(classes.groupBy("inner", "outer").agg(F.sum("n").alias("n"), F.min("around").alias("around"), F.min("valid").alias("valid")), "outers")
     inners = spool(outers.groupBy("inner").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1"), "inners")
     open_ones = spool(outers.join(inners, "inner").drop("least"), "open")
@@ -233,7 +234,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, filter_bits: int = 1 << 2
     starts = F.filter(F.sequence(F.col("high") - CLASS + 1, F.col("high")), lambda p: F.expr("shiftright(mask, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (p - F.col("high") + CLASS - 1).cast("int"))) != 0)
     parts = parts.select("doc_id", "row", F.flatten(F.transform(starts, lambda p: F.array(p, p))).alias("spans"))
     both = whole.unionByName(parts)
-    return both.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set, so that the copies of a repeated row bring their spans once
+    return both.groupBy("doc_id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:

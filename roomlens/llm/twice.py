@@ -2,8 +2,8 @@
 
 Two such pairs merge: seen once is the union; seen twice is the union of both and of
 what both have seen once. A hash that occurs twice anywhere is always found in the
-second filter; a false find costs only an exact check later. The size is fixed, so what is sent to
-the driver and the executors is bounded whatever the input; a filter too small for its input finds more, and loses nothing.
+second filter; a false find costs only an exact check later. The size follows the number of hashes up to a fixed most, so what is sent
+to the driver and the executors is bounded whatever the input; a filter too small for its input finds more, and loses nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 
 SEGMENT = 1 << 19  # bits
+#: Bits for each hash, and of a filter at most (2**28 bits are 32 MB as sent, and eight times that twice while a task builds them).
+EACH, MOST = 6, 1 << 28
 _SCHEMA = "segment int, part int, once binary, twice binary"
 
 
@@ -25,6 +27,11 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def bits_for(n: int) -> int:
+    """Size of a filter for ``n`` hashes."""
+    return max(SEGMENT, min(MOST, 1 << max(0, EACH * n - 1).bit_length()))
+
+
 def suspected(h: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """True where the filter ``twice`` (one byte per 8 bits) may hold a hash."""
     out = np.ones(len(h), bool)
@@ -33,7 +40,7 @@ def suspected(h: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return out
 
 
-def twice_filter(hashes: DataFrame, bits: int = 1 << 25) -> Broadcast:
+def twice_filter(hashes: DataFrame, bits: int) -> Broadcast:
     """Broadcast filter of what ``hashes`` (one long column, nulls are skipped) holds twice; ``bits``: a power of two, at most 2**32."""
     if bits & (bits - 1) or not SEGMENT <= bits <= 1 << 32:
         raise ValueError("bits must be a power of two from 2**19 to 2**32")

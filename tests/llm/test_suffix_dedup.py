@@ -77,3 +77,21 @@ def test_merge_is_the_order_of_all_suffixes():
             if heads[k] != heads[k - 1]:
                 common = next(i for i, (x, y) in enumerate(zip(suffix[k], suffix[k - 1], strict=False)) if x != y)
                 assert merged.lcp[k] == common
+
+
+def test_documents_at_the_length_of_the_contract(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id")
+    rows = docs.select("doc_id", "text").collect()
+    got = D.suffix_dedup(docs).orderBy("doc_id").collect()
+    want = brute([r.text for r in rows], 400)
+    assert sum(n for _, n, *_ in want) > 0
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == [(r.doc_id, *w) for r, w in zip(rows, want, strict=True)]
+
+
+def test_copies_of_a_row(spark):
+    """2,000 copies of one row, with another row that shares a part of it."""
+    rng = np.random.default_rng(7)
+    base, tail = ("".join(rng.choice(list("abcdefgh "), n)) for n in (700, 300))
+    rows = spark.range(2000).selectExpr("5L as doc_id", f"'{base}' as text").unionByName(spark.createDataFrame([(6, base[100:600] + tail)], "doc_id long, text string"))
+    got = D.suffix_dedup(rows).collect()
+    assert all((r.n_removed, r.n_spans) == ((700, 1) if r.doc_id == 5 else (500, 1)) for r in got) and len(got) == 2001
