@@ -1,11 +1,13 @@
 """A toxicity score from the nearest labelled examples.
 
-Method: exact cosine to all labelled examples of the sample, over all of their terms. Terms that many examples hold are columns of a
-matrix and take part by a matrix product, the others by their posting lists; no cosine is left out. The votes of the k nearest,
-weighted by closeness, are turned into a probability by a logistic curve fitted on the examples' own left-out votes. The neighbours' ids are the evidence.
-
-Terms are words and word beginnings (insults inflect). A term weighs its idf times how far it tells the classes apart (the log of its
-odds, plus a little, so that no term is without weight): a text has no neighbours only if no example holds any of its words.
+Method: exact TF-IDF cosine by a block-max index, over all terms of the sampled examples. Examples lie in blocks of similar ones; for each
+term and block the largest weight is kept. A batch of texts first gets a bound of its cosines for every block; the most promising
+blocks are scored whole, and then only those whose bound reaches the k-th best cosine found so far. No cosine that could
+be among the k best is left out. The votes of the k nearest, weighted by closeness, are turned into a probability by a
+logistic curve fitted on examples' own left-out votes. The neighbours' ids are the evidence.
+
+Terms are words, all of them. A term's idf is multiplied by how far it tells the classes apart (the square of the
+log of its odds, plus a little, so that no term is without weight): a text has no neighbours only if no example holds any of its words.
 """
 
 from __future__ import annotations
@@ -18,29 +20,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 
 from .sample import labelled
 
-#: Examples of a class and neighbours at most; terms that are columns of the matrix; texts scored at once.
-PER_CLASS, NEIGHBOURS, DENSE, AT_ONCE = 6000, 15, 1024, 64
-#: Least weight of a term for telling the classes apart.
-LEAST = 0.01
-#: Lengths of word beginnings that are terms.
-STEMS = (4, 5, 6)
+#: Examples of a class and neighbours at most; examples whose left-out votes set the curve; texts scored at once.
+PER_CLASS, NEIGHBOURS, CURVE, AT_ONCE = 6000, 15, 2000, 96
+#: Examples of a block; terms with a bound for each block (the others' postings are few, and are added up whole).
+BLOCK, DENSE = 64, 2048
+#: Least weight of a term for telling the classes apart, and what is added to its counts before.
+LEAST, SMOOTH = 0.001, 2.0
+#: Cosines are taken in single precision, and are ties if this close.
+TIE = 1e-6
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
-
-
 def term_counts(text: str) -> Counter[str]:
-    out: Counter[str] = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        for term in terms_of(word):
-            out[term] += n
-    return out
+    return Counter(_WORD.findall(text.lower()))
 
 
 @dataclass
@@ -61,41 +58,33 @@ class Index:
     shift: float = 0.0
     #: made again where the index is used
     made: dict = field(default_factory=dict)
+    #: as it was sent to the executors, before its curve was known
+    sent: Broadcast | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"made": {}, "terms": "\n".join(self.terms)}  # terms are letters and *
+        return self.__dict__ | {"made": {}, "sent": None, "terms": "\n".join(self.terms)}  # terms are letters
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state | {"terms": state["terms"].split("\n") if state["terms"] else []})
 
-    def parts(self) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-        """Places of terms, weights of postings, and the matrix of frequent terms with their rows (-1 for others)."""
-        if not self.made:
-            sizes = np.diff(self.starts)
-            w = (1 + np.log(self.counts)) * np.repeat(self.idf, sizes)
-            w /= np.sqrt(np.bincount(self.postings, w * w, len(self.ids)))[self.postings]
-            often = np.sort(np.argsort(-sizes, kind="stable")[:DENSE])
-            row, matrix = np.full(len(sizes), -1, np.int32), np.zeros((len(often), len(self.ids)))
-            row[often] = np.arange(len(often))
-            for r, t in enumerate(often.tolist()):
-                own = slice(self.starts[t], self.starts[t + 1])
-                matrix[r, self.postings[own]] = w[own]
-            self.made["parts"] = {t: i for i, t in enumerate(self.terms)}, w, matrix, row
-        return self.made["parts"]
-
-    def vector(self, text: str, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights of a text. ``known`` remembers the terms of words."""
-        counts: dict[int, int] = {}
-        place = self.parts()[0]
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            at = known.get(word)
-            if at is None:
-                if len(known) > 200_000:
-                    known.clear()
-                at = known[word] = tuple(place[t] for t in terms_of(word) if t in place)
-            for t in at:
-                counts[t] = counts.get(t, 0) + n
-        return unit(counts, self.idf)
+    def parts(self) -> _Blocks:
+        """The blocks, made from the postings where the index is used."""
+        if "blocks" not in self.made:
+            self.made["blocks"] = _Blocks.of(self)
+        return self.made["blocks"]
+
+    def places(self) -> dict[str, int]:
+        if "places" not in self.made:
+            self.made["places"] = {t: i for i, t in enumerate(self.terms)}
+        return self.made["places"]
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights of a text."""
+        place = self.places()
+        counts = [(place[t], n) for t, n in term_counts(text).items() if t in place]
+        at, n = np.array(counts, np.int64).reshape(-1, 2).T
+        order = np.argsort(at)
+        return weighted(at[order], n[order].astype(float), self.idf)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, best first, ties by place; without the example ``but``."""
@@ -103,26 +92,39 @@ class Index:
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each vector."""
-        _, w, matrix, row = self.parts()
-        n = len(self.ids)
-        asked = np.zeros((len(vectors), len(matrix)))
-        for own, (terms, weights) in zip(asked, vectors, strict=True):
-            r = row[terms]
-            own[r[r >= 0]] = weights[r >= 0]
-        cosines = asked @ matrix
-        out = []
+        b = self.parts()
+        out, n = [], len(b.order)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        asked = np.zeros((len(vectors), b.heavy.shape[2]), np.float32)
+        rest = np.zeros((len(vectors), len(b.heavy) * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(vectors):
-            cos = cosines[i]
-            rare = row[terms] < 0
-            low, high = self.starts[terms[rare]], self.starts[terms[rare] + 1]
-            if len(low):
-                runs = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                cos += np.bincount(np.concatenate([self.postings[r] for r in runs]), np.concatenate([w[r] for r in runs]) * np.repeat(weights[rare], high - low), n)
-            if but is not None and but[i] >= 0:
-                cos[but[i]] = 0.0
-            least = max(np.partition(cos, n - k)[n - k] - 1e-11, 1e-12) if n > k else 1e-12
-            best = np.flatnonzero(cos >= least)
-            near = np.round(cos[best], 12)
+            r = b.row[terms]
+            asked[i, r[r >= 0]] = weights[r >= 0]
+            few = terms[r < 0]
+            low, size = b.starts[few], b.starts[few + 1] - b.starts[few]
+            at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rest[i] = np.bincount(b.postings[at], b.weights[at] * np.repeat(weights[r < 0], size), rest.shape[1])
+        bound = asked @ b.most + rest.reshape(len(vectors), -1, BLOCK).max(axis=2)
+        cosines = np.zeros_like(rest)
+        least = np.full(len(vectors), TIE)
+        first = np.argsort(-bound, axis=1, kind="stable")
+        blocks, rows = cosines.reshape(len(vectors), -1, BLOCK), np.arange(len(vectors))[:, None]
+        left = np.full(len(vectors), -1) if but is None else np.array(but)
+        for since, upto in ((0, 2), (2, 2 + len(b.heavy) // 16), (2 + len(b.heavy) // 16, len(b.heavy))):
+            todo = np.zeros(bound.shape, bool)
+            todo[rows, first[:, since:upto]] = True
+            todo &= bound >= least[:, None] - TIE
+            for block in np.flatnonzero(todo.any(axis=0)).tolist():
+                who = np.flatnonzero(todo[:, block])
+                blocks[who, block] = asked[who] @ b.heavy[block].T + rest[who, block * BLOCK : block * BLOCK + BLOCK]
+            cosines[np.flatnonzero(left >= 0), b.place[left[left >= 0]]] = 0.0
+            seen = blocks[rows, first[:, :upto]].reshape(len(vectors), -1)
+            if upto < len(b.heavy) and seen.shape[1] > k:
+                least = np.maximum(np.partition(seen, -k, axis=1)[:, -k], TIE)
+        for cos, floor in zip(cosines, least.tolist(), strict=True):
+            best = np.flatnonzero(cos[:n] >= max(floor - TIE, TIE))
+            near, best = np.round(cos[best].astype(float), 6), b.order[best]
             order = np.lexsort((best, -near))[:k]
             out.append((best[order], near[order]))
         return out
@@ -132,51 +134,83 @@ class Index:
         w = self.share[best] / (1.05 - np.minimum(cos, 1.0))
         return float((w @ self.y[best] + self.prior) / (w.sum() + 1))
 
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * np.log(vote / (1 - vote)) + self.shift, -30, 30))))
+
+def calibrated(vote: float, slope: float, shift: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(slope * np.log(vote / (1 - vote)) + shift, -30, 30))))
+
+
+@dataclass
+class _Blocks:
+    """Examples in blocks: ``order`` names the example of each place, ``place`` the place of each example.
+
+    heavy: (blocks, examples of a block, frequent terms) weights; most: (frequent terms, blocks) the largest of them; row: of a term among
+    the frequent ones, or -1; starts, postings, weights: places and weights of the other terms.
+    """
+
+    order: np.ndarray
+    place: np.ndarray
+    heavy: np.ndarray
+    most: np.ndarray
+    row: np.ndarray
+    starts: np.ndarray
+    postings: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, index: Index) -> _Blocks:
+        n, sizes = len(index.ids), np.diff(index.starts)
+        term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        w = (1 + np.log(index.counts)) * index.idf[term]
+        w /= np.sqrt(np.bincount(index.postings, w * w, n))[index.postings]
+        # similar examples: of one class, and with the same heaviest term
+        best, heaviest = np.zeros(n), np.full(n, -1, np.int64)
+        np.maximum.at(best, index.postings, w)
+        tops = w == best[index.postings]
+        heaviest[index.postings[tops]] = term[tops]
+        order = np.lexsort((np.arange(n), heaviest, index.y))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        often = np.sort(np.argsort(-sizes, kind="stable")[:DENSE])
+        row = np.full(len(sizes), -1, np.int32)
+        row[often] = np.arange(len(often))
+        heavy = np.zeros((-(-n // BLOCK) * BLOCK, len(often)), np.float32)
+        frequent = row[term] >= 0
+        heavy[place[index.postings[frequent]], row[term[frequent]]] = w[frequent]
+        heavy = heavy.reshape(-(-n // BLOCK), BLOCK, len(often))
+        rare = np.where(row < 0, sizes, 0)
+        return cls(order, place, heavy, np.ascontiguousarray(heavy.max(axis=1).T), row, np.concatenate([[0], np.cumsum(rare)]), place[index.postings[~frequent]].astype(np.int32), w[~frequent])
+
+
+def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms ``at`` (ascending) and their weights, of length one together."""
+    w = (1 + np.log(counts)) * idf[at]
+    return at, w / np.sqrt(w @ w) if len(at) else w
 
 
 def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.array(sorted(counts), np.int64)
-    if not len(at):
-        return at, np.zeros(0)
-    w = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * idf[at]
-    return at, w / np.sqrt(w @ w)
+    return weighted(at, np.array([counts[t] for t in at.tolist()], float), idf)
 
 
 def build(terms: list[str], df: np.ndarray, n: int, ids: np.ndarray, y: np.ndarray, counts: list[dict[int, int]], share: dict[int, float]) -> Index:
     """``df``: examples of ``n`` that hold each term; ``share``: labelled rows for each example, by class."""
     flat = lambda values: np.fromiter((x for c in counts for x in values(c)), np.int32)
-    return assembled(terms, df, n, ids, y, np.array([len(c) for c in counts], np.int64), flat(dict.keys), flat(dict.values), share)
+    return assembled(terms, df, n, ids, y, np.repeat(np.arange(len(ids), dtype=np.int32), [len(c) for c in counts]), flat(dict.keys), flat(dict.values), share)
 
 
-def assembled(terms: list[str], df: np.ndarray, n: int, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, at: np.ndarray, times: np.ndarray, share: dict[int, float]) -> Index:
-    """As ``build``, of the terms of all examples one after the other (``sizes`` of each) and how often they stand there."""
-    order = np.argsort(at, kind="stable")
-    postings = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+def assembled(terms: list[str], df: np.ndarray, n: int, ids: np.ndarray, y: np.ndarray, example: np.ndarray, at: np.ndarray, times: np.ndarray, share: dict[int, float]) -> Index:
+    """As ``build``, of single terms: their examples, numbers, and how often they stand there."""
+    toxic_df = np.bincount(at[y[example] == 1], minlength=len(terms))
     starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))]).astype(np.int64)
-    toxic_df = np.bincount(at, np.repeat(y == 1, sizes), len(terms))
     clean_df = np.diff(starts) - toxic_df
-    odds = np.log((toxic_df + 0.5) / ((y == 1).sum() + 1) / ((clean_df + 0.5) / ((y == 0).sum() + 1)))
-    idf = (np.log((1 + n) / (1 + df)) + 1) * (np.abs(odds) + LEAST)
+    odds = np.log((toxic_df + SMOOTH) / ((y == 1).sum() + 2 * SMOOTH) / ((clean_df + SMOOTH) / ((y == 0).sum() + 2 * SMOOTH)))
+    idf = (np.log((1 + n) / (1 + df)) + 1) * (odds * odds + LEAST)
     votes_of = np.array([share.get(int(v), 1.0) for v in y])
-    toxic = float(votes_of @ y)
-    index = Index(terms, idf, starts, postings, times[order], y.astype(float), ids, votes_of / max(votes_of.mean(), 1e-12) if len(y) else votes_of, 0.5)
-    empty = sizes == 0
+    toxic, empty = float(votes_of @ y), np.bincount(example, minlength=len(ids)) == 0
     # the share of toxic ones among texts without a term of the index, which have no neighbours
-    index.prior = float((votes_of[empty] @ y[empty] + 0.01) / (votes_of[empty].sum() + 1)) if empty.any() else min(0.5, max(0.01, toxic / max(votes_of.sum(), 1)))
-    if 0 < y.sum() < len(y):
-        ends, votes = np.cumsum(sizes), []
-        for k in range(0, len(ids), AT_ONCE):
-            own = list(range(k, min(k + AT_ONCE, len(ids))))
-            vectors = []
-            for e in own:
-                part = slice(ends[e] - sizes[e], ends[e])
-                vectors.append(unit(dict(zip(at[part].tolist(), times[part].tolist(), strict=True)), idf))
-            votes += [index.vote(*found) for found in index.nearest_of(vectors, but=own)]
-        votes = np.array(votes)
-        index.slope, index.shift = platt(np.log(votes / (1 - votes)), y.astype(float), votes_of)
-    return index
+    prior = float((votes_of[empty] @ y[empty] + 0.01) / (votes_of[empty].sum() + 1)) if empty.any() else min(0.5, max(0.01, toxic / max(votes_of.sum(), 1)))
+    order = np.argsort(at, kind="stable")
+    return Index(terms, idf, starts, example[order], times[order], y.astype(float), ids, votes_of / max(votes_of.mean(), 1e-12) if len(y) else votes_of, prior)
 
 
 def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -211,16 +245,46 @@ def toxicity_index(docs: DataFrame, labels: DataFrame, usable: Column, per_class
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {t: i for i, t in enumerate(shared.value.split("\n"))}
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            got = [{place[t]: c for t, c in term_counts(text).items()} for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "t", "c"])
-
-    got = rows.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<int>").toArrow().sort_by([("y", "descending"), ("doc_id", "ascending")]).combine_chunks()
-    y, ids = got["y"].to_numpy(), got["doc_id"].to_numpy()
-    sizes = pc.list_value_length(got["t"]).to_numpy().astype(np.int64)
+            got = [{place[t]: min(c, 32767) for t, c in term_counts(text).items()} for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.int16()))], ["doc_id", "y", "t", "c"])
+
+    got = rows.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, t array<int>, c array<smallint>").toArrow()
+    shared.unpersist()
+    y, ids = (got[c].to_numpy() for c in ("y", "doc_id"))
+    order = np.lexsort((ids, -y))
+    place = np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids), dtype=np.int32)
+    example = np.repeat(place, pc.list_value_length(got["t"]).to_numpy())
     at, times = (pc.list_flatten(got[c]).to_numpy() for c in ("t", "c"))
     del got
+    y, ids = y[order], ids[order]
     share = {c: labelled_counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    return assembled(terms, np.bincount(at, minlength=len(terms)).astype(float), len(y), ids, y, sizes, at, times, share)
+    index = assembled(terms, np.bincount(at, minlength=len(terms)).astype(float), len(y), ids, y, example, at, times, share)
+    del example, at, times
+    index.sent = docs.sparkSession.sparkContext.broadcast(index)  # of a bounded number of examples and their terms
+    if 0 < y.sum() < len(y):
+        index.slope, index.shift = _curve(rows, index)
+    return index
+
+
+def _curve(rows: DataFrame, index: Index) -> tuple[float, float]:
+    """Slope and shift from the left-out votes of CURVE examples, the same share of each class; the voting is done by the executors."""
+    sent = index.sent
+    asked = dict.fromkeys(index.ids[np.unique(np.linspace(0, len(index.ids) - 1, min(CURVE, len(index.ids))).astype(np.int64))].tolist())
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        place = {i: k for k, i in enumerate(index.ids.tolist())}
+        for batch in batches:
+            mine = [(place[i], text) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i in asked]
+            for k in range(0, len(mine), AT_ONCE):
+                own = mine[k : k + AT_ONCE]
+                near = index.nearest_of([index.vector(text) for _, text in own], but=[p for p, _ in own])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int64()), pa.array([index.vote(*found) for found in near], pa.float64())], ["place", "vote"])
+
+    got = rows.select("doc_id", "text").mapInArrow(voted, "place long, vote double").toArrow().sort_by("place")  # at most CURVE rows
+    place, votes = got["place"].to_numpy(), got["vote"].to_numpy()
+    return platt(np.log(votes / (1 - votes)), index.y[place], index.share[place])
 
 
 def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -229,16 +293,17 @@ def toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     Null and empty texts have no terms: no neighbours, the prior's score. Repeated rows stay; a null
     doc_id is carried on. Extra columns are left out. With no labelled examples all scores are the same.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # of a bounded number of examples and terms
+    sent = index.sent or docs.sparkSession.sparkContext.broadcast(index)
+    slope, shift = index.slope, index.shift
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = shared.value, {}
+        index = sent.value
         for batch in batches:
             for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
                 score, near = [], []
-                for best, cos in index.nearest_of([index.vector(text or "", known) for text in part.column(1).to_pylist()], k):
-                    score.append(index.score(index.vote(best, cos)))
+                for best, cos in index.nearest_of([index.vector(text or "") for text in part.column(1).to_pylist()], k):
+                    score.append(calibrated(index.vote(best, cos), slope, shift))
                     near.append(index.ids[best].tolist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
