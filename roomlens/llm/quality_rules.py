@@ -33,8 +33,8 @@ RULES = {
 }
 #: Words from which a stratum begins.
 STRATA = (10, 150, 600)
-#: Terms of a binomial tail that are summed; the rest is bounded by a geometric series.
-TAIL_TERMS = 500
+#: Terms of a binomial tail that are summed, enough to the last digit for 10^8 labels; the rest is bounded by a geometric series.
+TAIL_TERMS = 20_000
 
 
 @dataclass(frozen=True)
