@@ -41,3 +41,19 @@ def test_a_filter_that_is_too_small_loses_nothing(spark):
     df = spark.createDataFrame([(int(x),) for x in [*h[:50_000], *twice]], "h long").repartition(7)
     assert suspected(twice.view(np.uint64), twice_filter(df, 1 << 19).value).all()
     assert suspected(h[60_000:].view(np.uint64), twice_filter(df, 1 << 22).value).mean() < 0.01
+
+
+def test_a_pair_of_filters_is_built_in_its_own_size():
+    import tracemalloc
+
+    import numpy as np
+
+    from roomlens.llm.twice import MOST, fill
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 40_000).astype(np.uint64)
+    tracemalloc.start()
+    once, twice = fill(iter([*np.split(h, 4), h[:500], h[500:900].repeat(2)]), MOST)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < MOST // 4 + (8 << 20)  # 64 MB for both and a batch
+    assert suspected(h, once).all() and suspected(h[:900], twice).all() and suspected(h[900:], twice).sum() < 40
