@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,18 @@ def test_copies_of_a_row(spark):
     rows = spark.range(2000).selectExpr("5L as doc_id", f"'{base}' as text").unionByName(spark.createDataFrame([(6, base[100:600] + tail)], "doc_id long, text string"))
     got = D.suffix_dedup(rows).collect()
     assert all((r.n_removed, r.n_spans) == ((700, 1) if r.doc_id == 5 else (500, 1)) for r in got) and len(got) == 2001
+
+
+def test_query_shows_what_is_left(spark, small):
+    """After the columns of the contract the query has the text that its digest is of (without the rest of a character that a cut goes through)."""
+    from roomlens.llm import queries as Q
+
+    got = Q.op2_suffix_dedup(spark, small)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    rows, before = got.collect(), {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == len(before) and any(r.n_removed for r in rows)
+    for r in rows:
+        left = r.text.encode()
+        assert (r.text == before[r.doc_id]) == (r.n_removed == 0)
+        if len(left) == r.n_bytes - r.n_removed:
+            assert hashlib.sha256(left).hexdigest() == r.kept_sha256
